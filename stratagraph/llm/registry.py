@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define QUERIES and, where SQL can express them, ORACLES.
-MODULES = ("sharding", "repetition")
+MODULES = ("simhash", "secrets", "sharding", "repetition")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
