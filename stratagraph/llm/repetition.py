@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .suffixes import ranked, refine
+
 BLOCK_WORDS = 400_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -44,32 +46,6 @@ STATS = T.StructType(
 )
 
 
-def refine(rank: np.ndarray, step: int, todo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks by twice the prefix length, and the places whose rank is still shared.
-
-    A rank is the number of smaller suffixes, so unique ranks never change and
-    only the shared ones are sorted again.
-    """
-    n = len(rank)
-    after = todo + step
-    second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-    order = np.lexsort((second, rank[todo]))
-    at, first, second = todo[order], rank[todo][order], second[order]
-    new_group = np.empty(len(at), bool)
-    new_group[0] = True
-    new_group[1:] = first[1:] != first[:-1]
-    change = new_group.copy()
-    change[1:] |= second[1:] != second[:-1]
-    place = np.arange(len(at))
-    group_start = np.maximum.accumulate(np.where(new_group, place, 0))
-    part_start = np.maximum.accumulate(np.where(change, place, 0))
-    out = rank.copy()
-    out[at] = first + (part_start - group_start)
-    ends = np.append(np.flatnonzero(change)[1:], len(at))
-    starts = np.flatnonzero(change)
-    return out, at[np.repeat(ends - starts > 1, ends - starts)]
-
-
 def repeats(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The suffix array (places), its neighbours' common prefixes, and by place the longest repeat that starts there.
 
@@ -81,16 +57,7 @@ def repeats(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         none = np.zeros(0, np.int64)
         return none, none, none
     key = doc.astype(np.int64) * (int(words.max()) + 1) + words
-    order = np.argsort(key, kind="stable")
-    sorted_ = key[order]
-    change = np.empty(n, bool)
-    change[0] = True
-    change[1:] = sorted_[1:] != sorted_[:-1]
-    starts = np.flatnonzero(change)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(change, np.arange(n), 0))
-    sizes = np.diff(np.append(starts, n))
-    todo = order[np.repeat(sizes > 1, sizes)]
+    rank, todo = ranked(key)
     levels = [(1, rank.astype(np.int32))]
     step = 1
     while len(todo):
