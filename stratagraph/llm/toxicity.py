@@ -37,6 +37,7 @@ MIN_DOCS = 4  # training texts of a gram that has a vector
 MIN_CHI = 20.0  # and its chi-square with the label,
 MIN_PHI = 0.01  # also as a share of the training texts: copies of one text teach no more than that
 BLOCK_CHARS = 300_000
+BLOCK_TEXTS = 40
 THRESHOLD = 0.3
 
 
@@ -117,6 +118,19 @@ def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shares(texts: list[str | None], only: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By blocks of texts: the first one's number; text in the block * BUCKETS + bucket; the text's share in the bucket."""
+    for i in range(0, len(texts), BLOCK_TEXTS):
+        g = grams(texts[i : i + BLOCK_TEXTS])
+        text = g.text[g.word]
+        share = 1 / (g.per_word[g.word] * g.per_text[text])
+        key = text * BUCKETS + g.bucket
+        if only is not None:
+            key, share = key[only[g.bucket]], share[only[g.bucket]]
+        key, at = np.unique(key, return_inverse=True)
+        yield i, key, np.bincount(at, share, len(key))
+
+
 def train(texts: list[str | None], labels: list[int], weights: list[float], seed: int = 7) -> Model:
     """A model for P(label 1).  Without any row, or with one class, it scores by the labels' share alone."""
     y, weight = np.array(labels, np.float32), np.array(weights, np.float32)
@@ -124,23 +138,17 @@ def train(texts: list[str | None], labels: list[int], weights: list[float], seed
     prior = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), prior)
-    keys, values = [], []  # a text's share in each bucket
-    for i in range(0, len(texts), 200):
-        g = grams(texts[i : i + 200])
-        key = (g.text[g.word] + i) * BUCKETS + g.bucket
-        key, at = np.unique(key, return_inverse=True)
-        keys.append(key)
-        values.append(np.bincount(at, 1 / (g.per_word[g.word] * g.per_text[g.text[g.word]])).astype(np.float32))
-    key, value = np.concatenate(keys), np.concatenate(values)
-    doc, gram = key // BUCKETS, key % BUCKETS
-    # Grams that toxic texts hold more often than chance lets them; the rest would only be learnt by heart.
     n, toxic = len(y), float(y.sum())
-    held = np.bincount(gram, minlength=BUCKETS).astype(float)
-    by_toxic = np.bincount(gram, y[doc], BUCKETS)
+    held, by_toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)  # texts of each bucket
+    for i, key, _ in _shares(texts):
+        held += np.bincount(key % BUCKETS, minlength=BUCKETS)
+        by_toxic += np.bincount(key % BUCKETS, y[i + key // BUCKETS], BUCKETS)
+    # Grams that toxic texts hold more often than chance lets them; the rest would only be learnt by heart.
     odds = by_toxic * (n - toxic) - (held - by_toxic) * toxic
     chi = n * odds * np.abs(odds) / np.maximum(1, toxic * (n - toxic) * held * (n - held))
-    telling = ((chi >= max(MIN_CHI, MIN_PHI * n)) & (held >= MIN_DOCS))[gram]
-    doc, gram, value = doc[telling], gram[telling], value[telling]
+    telling = (chi >= max(MIN_CHI, MIN_PHI * n)) & (held >= MIN_DOCS)
+    parts = [(i + key // BUCKETS, key % BUCKETS, value) for i, key, value in _shares(texts, telling)]
+    doc, gram, value = (np.concatenate([x[k] for x in parts]) for k in range(3))
     used, gram = np.unique(gram, return_inverse=True)
     spread = 1 / np.sqrt(np.bincount(gram, value**2, len(used)) / n + 1e-12)
     value = (value * spread[gram]).astype(np.float32)[:, None]
