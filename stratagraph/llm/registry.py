@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define QUERIES and, where SQL can express them, ORACLES.
-MODULES = ("toxicity", "simhash", "secrets", "sharding", "repetition", "substrings")
+MODULES = ("decontamination", "toxicity", "simhash", "secrets", "sharding", "repetition", "substrings")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
