@@ -8,7 +8,16 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define QUERIES and, where SQL can express them, ORACLES.
-MODULES = ("decontamination", "toxicity", "simhash", "secrets", "sharding", "repetition", "substrings")
+MODULES = (
+    "decontamination",
+    "repetition",
+    "secrets",
+    "sharding",
+    "simhash",
+    "substrings",
+    "toxicity",
+    "warc",
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
