@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define QUERIES and, where SQL can express them, ORACLES.
 MODULES = (
+    "alignment",
     "decontamination",
     "repetition",
     "secrets",
