@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = (
     "alignment",
     "decontamination",
+    "mixing",
     "repetition",
     "secrets",
     "sharding",

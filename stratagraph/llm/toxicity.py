@@ -66,17 +66,18 @@ def _letters() -> np.ndarray:
 
 
 LETTERS = _letters()
+VISIBLE = np.array([not chr(c).isspace() for c in range(0x10000)])
 
 
-def grams(texts: list[str | None]) -> Grams:
+def grams(texts: list[str | None], inner: np.ndarray = LETTERS) -> Grams:
     """The n-grams of the texts' words, in lower case, each word with a mark at both ends.
 
-    Words are runs of letters and digits; code points past the basic plane count as letters.
+    Words are runs of ``inner`` characters, letters and digits by default; code points past the basic plane are inner.
     """
     lower = [(t or "").lower() for t in texts]
     joined = " " + " ".join(lower) + " "
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    inside = LETTERS[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
+    inside = inner[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
     c = np.where(inside, c, np.uint32(1))
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
@@ -101,9 +102,9 @@ def grams(texts: list[str | None]) -> Grams:
     return Grams(bucket, word, np.bincount(word, minlength=len(first)), text, np.bincount(text, minlength=len(texts)))
 
 
-def scores(texts: list[str | None], model: Model) -> np.ndarray:
+def scores(texts: list[str | None], model: Model, inner: np.ndarray = LETTERS) -> np.ndarray:
     """P(label 1) for each text; texts without words score by the bias alone."""
-    g = grams(texts)
+    g = grams(texts, inner)
     word = np.bincount(g.word, model.value[g.bucket], len(g.per_word)) / np.maximum(g.per_word, 1)
     mean = np.bincount(g.text, word, len(texts)) / np.maximum(g.per_text, 1)
     return 1 / (1 + np.exp(-np.clip(mean + model.bias, -40, 40)))
@@ -118,10 +119,10 @@ def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shares(texts: list[str | None], only: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _shares(texts: list[str | None], inner: np.ndarray, only: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """By blocks of texts: the first one's number; text in the block * BUCKETS + bucket; the text's share in the bucket."""
     for i in range(0, len(texts), BLOCK_TEXTS):
-        g = grams(texts[i : i + BLOCK_TEXTS])
+        g = grams(texts[i : i + BLOCK_TEXTS], inner)
         text = g.text[g.word]
         share = 1 / (g.per_word[g.word] * g.per_text[text])
         key = text * BUCKETS + g.bucket
@@ -131,7 +132,7 @@ def _shares(texts: list[str | None], only: np.ndarray | None = None) -> Iterator
         yield i, key, np.bincount(at, share, len(key))
 
 
-def train(texts: list[str | None], labels: list[int], weights: list[float], seed: int = 7) -> Model:
+def train(texts: list[str | None], labels: list[int], weights: list[float], inner: np.ndarray = LETTERS, seed: int = 7) -> Model:
     """A model for P(label 1).  Without any row, or with one class, it scores by the labels' share alone."""
     y, weight = np.array(labels, np.float32), np.array(weights, np.float32)
     share = float((y * weight).sum() / weight.sum()) if len(y) else 0.0
@@ -140,14 +141,14 @@ def train(texts: list[str | None], labels: list[int], weights: list[float], seed
         return Model(np.zeros(BUCKETS, np.float32), prior)
     n, toxic = len(y), float(y.sum())
     held, by_toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)  # texts of each bucket
-    for i, key, _ in _shares(texts):
+    for i, key, _ in _shares(texts, inner):
         held += np.bincount(key % BUCKETS, minlength=BUCKETS)
         by_toxic += np.bincount(key % BUCKETS, y[i + key // BUCKETS], BUCKETS)
     # Grams that toxic texts hold more often than chance lets them; the rest would only be learnt by heart.
     odds = by_toxic * (n - toxic) - (held - by_toxic) * toxic
     chi = n * odds * np.abs(odds) / np.maximum(1, toxic * (n - toxic) * held * (n - held))
     telling = (chi >= max(MIN_CHI, MIN_PHI * n)) & (held >= MIN_DOCS)
-    parts = [(i + key // BUCKETS, key % BUCKETS, value) for i, key, value in _shares(texts, telling)]
+    parts = [(i + key // BUCKETS, key % BUCKETS, value) for i, key, value in _shares(texts, inner, telling)]
     doc, gram, value = (np.concatenate([x[k] for x in parts]) for k in range(3))
     used, gram = np.unique(gram, return_inverse=True)
     spread = 1 / np.sqrt(np.bincount(gram, value**2, len(used)) / n + 1e-12)
