@@ -9,10 +9,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[str] = []
+_made: dict[str, str] = {}  # path -> the scope that it was made in
+_scopes = [""]
+
+
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables made inside belong to ``name``, unless a scope that is open already has them."""
+    _scopes.append(_scopes[-1] or name)
+    try:
+        yield
+    finally:
+        _scopes.pop()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made[path] = _scopes[-1]
     return path
 
 
@@ -45,11 +58,10 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete the scratch tables made so far, but for those that ``keep`` reads."""
-    read = keep.inputFiles() if keep is not None else []
-    names = {p: p.rsplit("/", 1)[1] for p in _made}
-    for path, name in names.items():
-        if not any(f"/{name}/" in f for f in read):
+def release(spark: SparkSession, keep: DataFrame) -> None:
+    """Delete the open scope's tables, but for those that ``keep`` reads."""
+    read = keep.inputFiles()
+    for path in [p for p, owner in _made.items() if owner == _scopes[-1]]:
+        if not any(f"/{path.rsplit('/', 1)[1]}/" in f for f in read):
             _delete(spark, path)
-            _made.remove(path)
+            del _made[path]
