@@ -56,7 +56,7 @@ def first_wins(df: DataFrame, by: list[str], order: Column) -> DataFrame:
 def promotion(facts: DataFrame, channel: str, corroborating: Column) -> tuple[DataFrame, DataFrame]:
     """(channels, facts) with a status: a channel without any corroborating fact is a candidate, and so is each fact of it."""
     channels = facts.groupBy(channel).agg(F.max(corroborating).alias("corroborated"), F.count("*").alias("facts"))
-    channels = channels.withColumn("status", F.when("corroborated", "canonical").otherwise("candidate"))
+    channels = channels.withColumn("status", F.when(F.col("corroborated"), "canonical").otherwise("candidate"))
     demoted = channels.where(~F.col("corroborated")).select(channel, F.lit("candidate").alias("demoted"))
     marked = facts.join(demoted, channel, "left").withColumn("status", F.coalesce("demoted", F.lit("canonical"))).drop("demoted")
     return channels, marked
