@@ -96,9 +96,9 @@ def possible_matches(left: DataFrame, right: DataFrame, key: str, segments: Colu
 
 def drift(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """(key, before, after, change) by a full outer join; a side that lacks the key counts 0."""
-    b = before.select(key, F.col(value).alias("before"))
-    a = after.select(key, F.col(value).alias("after"))
-    out = b.join(a, b[key].eqNullSafe(a[key]), "full_outer").select(F.coalesce(b[key], a[key]).alias(key), "before", "after")
+    b = before.select(F.col(key).alias("old"), F.col(value).alias("before"))
+    a = after.select(F.col(key).alias("new"), F.col(value).alias("after"))
+    out = b.join(a, F.col("old").eqNullSafe(F.col("new")), "full_outer").select(F.coalesce("old", "new").alias(key), "before", "after")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("before", "after")})
     return out.withColumn("change", F.col("after") - F.col("before"))
 
