@@ -99,7 +99,7 @@ def overlaps(docs: DataFrame) -> DataFrame:
         docs.select("rid", "place", F.explode(F.array_distinct("lines")).alias("line")).where(F.col("line") != BLANK), "lines"
     )
     holders = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("place", "rid")).alias("first")).where("n > 1")
-    held = lines.join(holders, "line")
+    held = lines.join(holders.hint("merge"), "line")
     rare = held.where(F.col("n") <= MAX_RARE).groupBy("line").agg(F.array_sort(F.collect_list(F.struct("place", "rid"))).alias("who"))
     rare = rare.select(F.posexplode("who").alias("at", "later"), "who").where("at > 0")
     rare = rare.select(F.explode(F.slice("who", F.lit(1), F.col("at"))).alias("earlier"), "later")
@@ -153,19 +153,19 @@ def without_common_blocks(df: DataFrame, doc_id: str = "doc_id", text: str = "te
     slim = written(slim, "hashes")
     firsts = slim.groupBy("whole").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     copied = firsts.where("n > 1").select("whole", F.col("first.rid").alias("first"))
-    marked = written(slim.join(copied, "whole", "left").withColumn("copy", F.coalesce(F.col("first") != F.col("rid"), F.lit(False))), "marked")
+    marked = written(slim.join(copied.hint("merge"), "whole", "left").withColumn("copy", F.coalesce(F.col("first") != F.col("rid"), F.lit(False))), "marked")
     single = marked.where(~F.col("copy")).select("rid", "place", "lines")
     pairs = overlaps(single)
     body = single.select("rid", "lines")
     both = (
-        pairs.join(body.withColumnRenamed("rid", "earlier").withColumnRenamed("lines", "a"), "earlier")
-        .join(body.withColumnRenamed("rid", "later").withColumnRenamed("lines", "b"), "later")
+        pairs.join(body.withColumnRenamed("rid", "earlier").withColumnRenamed("lines", "a").hint("merge"), "earlier")
+        .join(body.withColumnRenamed("rid", "later").withColumnRenamed("lines", "b").hint("merge"), "later")
         .select("later", "a", "b")
     )
     gone = both.mapInArrow(_align, "later long, gone array<int>").where(F.size("gone") > 0)
     gone = gone.groupBy(F.col("later").alias("rid")).agg(F.collect_set("gone").alias("gone"))
     fate = marked.select("rid", "copy").join(gone, "rid", "left").where(F.col("copy") | F.col("gone").isNotNull())
-    cut = rows.join(written(fate, "fate"), "rid", "left")
+    cut = rows.join(written(fate, "fate").hint("merge"), "rid", "left")  # the same plan at every size
     return cut.select(F.col("doc_id").cast("long"), "text", "copy", "gone").mapInArrow(_cut, OUT)
 
 
