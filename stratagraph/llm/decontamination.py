@@ -4,15 +4,18 @@ Documents are read as overlapping passages of ``PASSAGE`` words.  Words of the
 benchmark span the columns of a TF-IDF matrix with a row for each passage of the
 corpus; its document frequencies cover all passages.  A randomised SVD finds
 the leading right singular vectors: a random mixture of the items' vectors is
-multiplied by A'A twice, each time as one distributed pass whose partial sums
-(columns x rank) are added up by column stripes.  Passages and items are
-compared by cosine in that space.  Each candidate is then checked by the
+multiplied by A'A in one distributed pass, whose partial sums (columns x rank)
+are added up by column stripes, and the vectors follow from that image by the
+Nystroem form.  Words outside the benchmark are one more direction
+of a passage, which no item has.  Passages and items are compared by cosine in
+that space.  Each candidate is then checked by the
 longest common subsequence of its words with the item's, and by whether the
 item's answer, its last sentence, is in it too.
 
 The benchmark is the stated query set: items are taken in blocks of
 ``BLOCK_ITEMS``, whose vocabulary bounds what is broadcast; each block is held
-against all passages.  Texts are read twice and never exchanged.
+against all passages.  Texts are read once, as word numbers that are written
+beside the rows, and never exchanged.
 """
 
 from __future__ import annotations
@@ -29,13 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import free
 from .scratch import written
 
 PASSAGE = 64
 STRIDE = PASSAGE // 2
-RANK = 64
-MAX_SHARE = 0.1  # words in more passages than this don't count in retrieval
-MIN_COSINE = 0.45
+RANK = 224
+MAX_SHARE = 0.01  # words in more passages than this don't count in retrieval
+MIN_COSINE = 0.25  # of the part of the item that the space holds
 SURE = 0.8  # share of the item's words in common order that is enough alone,
 LIKELY = 0.55  # and with the answer
 ANSWER = 0.75  # share of the answer's words that makes it present
@@ -78,60 +82,87 @@ def read_items(rows: list[tuple[int | None, str | None]]) -> Items:
     return out
 
 
+OUTSIDE = -1
+
+
 def numbered(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
+    """The number of each word of the text, OUTSIDE for those that the benchmark lacks."""
     said = words(text)
-    return np.fromiter(map(vocabulary.get, said, repeat(-1)), np.int32, len(said))
+    return np.fromiter(map(vocabulary.get, said, repeat(OUTSIDE)), np.int32, len(said))
 
 
 @dataclass
 class Passages:
-    """Word counts of passages: ``row`` (not decreasing), ``column``, ``count``; of each passage the text and its first word."""
+    """Word counts of passages: ``row`` (not decreasing), ``column``, ``count``; of each passage the text, its first word and how many are outside."""
 
     row: np.ndarray
     column: np.ndarray
     count: np.ndarray
     text: np.ndarray
     start: np.ndarray
+    outside: np.ndarray
 
 
-def passages(texts: list[np.ndarray], counts: np.ndarray) -> Passages:
-    """Every passage of the texts; ``counts`` says which columns are counted."""
+def passages(texts: list[np.ndarray], counts: np.ndarray, overlap: bool) -> Passages:
+    """Every passage of the texts, each STRIDE words or, without ``overlap``, each PASSAGE words; ``counts`` says which columns are counted."""
+    step = STRIDE if overlap else PASSAGE
     sizes = np.array([len(t) for t in texts], np.int64)
-    blocks = -(-sizes // STRIDE)
-    n = np.maximum(blocks - 1, np.minimum(blocks, 1))  # passages of each text
+    blocks = -(-sizes // step)
+    n = np.maximum(blocks - 1, np.minimum(blocks, 1)) if overlap else blocks  # passages of each text
     base = np.cumsum(n) - n
     total = int(n.sum())
     text = np.repeat(np.arange(len(texts)), n)
-    start = (np.arange(total) - base[text]) * STRIDE
+    start = (np.arange(total) - base[text]) * step
     token = np.concatenate(texts) if texts else np.zeros(0, np.int32)
     owner = np.repeat(np.arange(len(texts)), sizes)
-    block = (np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // STRIDE
+    block = (np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // step
+
+    def rows(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The passages of the chosen words, and the words."""
+        who, where, said = owner[use], block[use], token[use].astype(np.int64)
+        own, prior = where < n[who], (where >= 1) & overlap
+        return np.concatenate([(base[who] + where)[own], (base[who] + where - 1)[prior]]), np.concatenate([said[own], said[prior]])
+
+    outside = np.bincount(rows(token < 0)[0], minlength=total)
     use = token >= 0
     use[use] = counts[token[use]]
-    token, owner, block = token[use].astype(np.int64), owner[use], block[use]
-    own, prior = block < n[owner], block >= 1
-    key = np.concatenate([(base[owner] + block)[own], (base[owner] + block - 1)[prior]]) * len(counts)
-    key, count = np.unique(key + np.concatenate([token[own], token[prior]]), return_counts=True)
-    return Passages(key // len(counts), key % len(counts), count, text, start)
+    row, said = rows(use)
+    key, count = np.unique(row * len(counts) + said, return_counts=True)
+    return Passages(key // len(counts), key % len(counts), count, text, start, outside)
 
 
 def weighted(p: Passages, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The passages with any weight, the first entry of each, and the entries' TF-IDF values, of length 1 by passage."""
+    """The passages with any weight, the first entry of each, and the entries' TF-IDF values, of length 1 by passage.
+
+    A word outside the benchmark weighs as much as the median of those inside.
+    """
     value = (1 + np.log(p.count)) * weight[p.column]
     starts = np.flatnonzero(np.append(True, p.row[1:] != p.row[:-1])) if len(p.row) else np.zeros(0, np.int64)
     if not len(starts):
         return starts, starts, value
-    norm = np.sqrt(np.add.reduceat(value**2, starts))
+    rows = p.row[starts]
+    usual = np.median(weight[weight > 0])
+    norm = np.sqrt(np.add.reduceat(value**2, starts) + p.outside[rows] * usual**2)
     value = value / np.repeat(norm, np.diff(np.append(starts, len(value))))
-    return p.row[starts], starts, value.astype(np.float32)
+    return rows, starts, value.astype(np.float32)
 
 
-def project(p: Passages, weight: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Passages, entries' values, starts, and the passages' coordinates in ``basis``."""
+def project(p: Passages, weight: np.ndarray, basis: np.ndarray, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passages, entries' columns and values, starts, and the passages' coordinates in ``basis``.
+
+    Passages whose part inside the benchmark is shorter than ``least`` are left out: no cosine is larger than that.
+    """
     rows, starts, value = weighted(p, weight)
+    column = p.column
+    if least and len(starts):
+        long = np.add.reduceat(value**2, starts) >= least**2
+        keep = np.repeat(long, np.diff(np.append(starts, len(value))))
+        rows, value, column = rows[long], value[keep], column[keep]
+        sizes = np.diff(np.append(starts, len(keep)))[long]
+        starts = np.cumsum(sizes) - sizes
     if not len(starts):
-        return rows, value, starts, np.zeros((0, basis.shape[1]), np.float32)
-    return rows, value, starts, np.add.reduceat(basis[p.column] * value[:, None], starts, axis=0)
+        return rows, column, value, starts, np.zeros((0, basis.shape[1]), np.float32)
+    return rows, column, value, starts, np.add.reduceat(basis[column] * value[:, None], starts, axis=0)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[list[np.ndarray]]:
@@ -158,7 +189,7 @@ def document_frequencies(tokens: DataFrame, n_words: int, width: str) -> tuple[n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = np.zeros(n_words, np.int64), 0
         for texts in _texts(batches, width):
-            p = passages(texts, np.ones(n_words, bool))
+            p = passages(texts, np.ones(n_words, bool), False)
             counts += np.bincount(p.column, minlength=n_words)
             total += len(p.text)
         there = np.flatnonzero(counts)
@@ -183,11 +214,11 @@ def gram_times(tokens: DataFrame, width: str, weight: np.ndarray, basis: np.ndar
         weight, basis = shared.value
         total = np.zeros(shape, np.float64)
         for texts in _texts(batches, width):
-            p = passages(texts, weight > 0)
-            rows, value, starts, y = project(p, weight, basis)
+            p = passages(texts, weight > 0, False)
+            rows, column, value, starts, y = project(p, weight, basis)
             if len(rows):
-                order = np.argsort(p.column, kind="stable")
-                columns = p.column[order]
+                order = np.argsort(column, kind="stable")
+                columns = column[order]
                 heads = np.flatnonzero(np.append(True, columns[1:] != columns[:-1]))
                 at = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(value))))
                 total[columns[heads]] += np.add.reduceat(y[at[order]] * value[order, None], heads, axis=0)
@@ -205,6 +236,16 @@ def gram_times(tokens: DataFrame, width: str, weight: np.ndarray, basis: np.ndar
     return out
 
 
+def singular_vectors(image: np.ndarray, mixture: np.ndarray) -> np.ndarray:
+    """The leading right singular vectors of A from ``image`` = A'A ``mixture``, by the Nystroem form: one pass over A is enough."""
+    shift = 1e-9 * np.linalg.norm(image)
+    image = image + shift * mixture
+    core = mixture.T @ image
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    root = image @ (turn / np.sqrt(np.maximum(values, shift)))
+    return np.linalg.svd(root, full_matrices=False)[0]
+
+
 def common(item: list[int], window: list[int]) -> int:
     """The length of the longest common subsequence, by bits of an integer."""
     at: dict[int, int] = {}
@@ -224,24 +265,31 @@ class Searcher:
 
     def __init__(self, items: Items, weight: np.ndarray, basis: np.ndarray):
         self.items, self.weight, self.basis = items, weight, basis.astype(np.float32)
-        p = Passages(*_item_entries(items, weight), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        rows, _, _, y = project(p, weight, self.basis)
-        self.rows = rows
-        self.latent = (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)).T
+        none = np.zeros(0, np.int64)
+        p = Passages(*_item_entries(items, weight), none, none, np.zeros(len(items.ids), np.int64))
+        self.rows, _, _, _, y = project(p, weight, self.basis)
+        self.latent = (y / np.maximum((y**2).sum(axis=1, keepdims=True), 1e-9)).T
+        self.tokens = [np.array(t) for t in items.tokens]
 
     def search(self, texts: list[np.ndarray]) -> list[list[tuple]]:
         """For each text the (item_id, cosine, lcs, answer) that pass, the best of each item."""
         out: list[dict] = [{} for _ in texts]
-        p = passages(texts, self.weight > 0)
-        rows, _, _, y = project(p, self.weight, self.basis)
-        length = np.linalg.norm(y, axis=1, keepdims=True)
+        p = passages(texts, self.weight > 0, True)
+        rows, _, _, _, y = project(p, self.weight, self.basis, MIN_COSINE)
+        there = np.zeros(len(self.weight) + 1, bool)  # the last place is for words outside
         for i in range(0, len(rows), 4096):
-            cosine = (y[i : i + 4096] / np.maximum(length[i : i + 4096], 1e-9)) @ self.latent
+            cosine = y[i : i + 4096] @ self.latent
             for a, b in zip(*np.nonzero(cosine >= MIN_COSINE), strict=True):
                 row, item = rows[i + a], int(self.rows[b])
                 text, start = int(p.text[row]), int(p.start[row])
                 tokens, n = self.items.tokens[item], len(self.items.tokens[item])
-                window = texts[text][max(0, start - n // 2) : start + max(PASSAGE, n) + n // 2].tolist()
+                window = texts[text][max(0, start - n // 2) : start + max(PASSAGE, n) + n // 2]
+                there[window] = True
+                most = there[self.tokens[item]].sum() / n  # no common subsequence is longer
+                there[window] = False
+                if most < LIKELY:
+                    continue
+                window = window.tolist()
                 lcs = common(tokens, window) / n
                 best = out[text].get(item)
                 if lcs < LIKELY or best and best[2] >= lcs:
@@ -260,8 +308,8 @@ def _item_entries(items: Items, weight: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key // len(weight), key % len(weight), count
 
 
-def _block_hits(docs: DataFrame, text: str, items: Items, into: str) -> DataFrame:
-    """``docs`` with the hits of one block of items appended to the array column ``into``."""
+def _block_hits(docs: DataFrame, text: str, tokens: str, items: Items, into: str) -> DataFrame:
+    """``docs`` with the hits of one block of items appended to the array column ``into``; the words' numbers go to ``tokens`` meanwhile."""
     spark = docs.sparkSession
     n_words = len(items.vocabulary)
     width = "<i2" if n_words < 1 << 15 else "<i4"
@@ -269,44 +317,45 @@ def _block_hits(docs: DataFrame, text: str, items: Items, into: str) -> DataFram
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = (numbered(t.as_py(), shared.value) for t in batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([t.astype(width).tobytes() for t in made if (t >= 0).any()], pa.binary())], names=["tokens"])
+            made = [numbered(t.as_py(), shared.value).astype(width).tobytes() for t in batch.column(batch.schema.get_field_index(text))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], schema=batch.schema.append(pa.field(tokens, pa.binary())))
 
-    tokens = written(docs.select(F.col(text).cast("string")).mapInArrow(tokenise, "tokens binary"), "tokens")
-    df, total = document_frequencies(tokens, n_words, width)
+    rows = docs.mapInArrow(tokenise, T.StructType([*docs.schema.fields, T.StructField(tokens, T.BinaryType())]))
+    rows = written(rows, "tokens")
+    slim = rows.select(F.col(tokens).alias("tokens"))
+    df, total = document_frequencies(slim, n_words, width)
     weight = np.where(df <= max(1.0, MAX_SHARE * total), np.log((total + 1) / (df + 0.5)), 0.0)
     weight = np.maximum(weight, 0.0)
-    rows, columns, counts = _item_entries(items, weight)
+    if not weight.any():
+        weight = np.ones(n_words)  # a corpus so small that every word is in most passages
+    at, columns, counts = _item_entries(items, weight)
     rng = np.random.default_rng(11)
     rank = min(RANK, n_words)
     mix = rng.normal(size=(len(items.ids), rank))
     start = np.zeros((n_words, rank))
-    np.add.at(start, columns, ((1 + np.log(counts)) * weight[columns])[:, None] * mix[rows])
-    basis = np.linalg.qr(start + 1e-6 * rng.normal(size=start.shape))[0]
-    for _ in range(2):
-        image = gram_times(tokens, width, weight, basis)
-        values, turn = np.linalg.eigh(basis.T @ image)  # the last round's are the squared singular values
-        basis = np.linalg.qr(image @ turn[:, ::-1] + 1e-9 * basis)[0]
+    np.add.at(start, columns, ((1 + np.log(counts)) * weight[columns])[:, None] * mix[at])
+    mixture = np.linalg.qr(start + 1e-6 * rng.normal(size=start.shape))[0]
+    basis = singular_vectors(gram_times(slim, width, weight, mixture), mixture)
     model = spark.sparkContext.broadcast((items, weight, basis))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, weight, basis = model.value
-        searcher = Searcher(items, weight, basis)
+        searcher = Searcher(*model.value)
         for batch in batches:
             where = batch.schema.get_field_index(into)
             found = batch.column(where).to_pylist()
             held, first, size = [], 0, 0
-            texts = batch.column(batch.schema.get_field_index(text))
-            for i, t in enumerate(texts):
-                held.append(numbered(t.as_py(), items.vocabulary))
+            said = batch.column(batch.schema.get_field_index(tokens))
+            for i, x in enumerate(said):
+                held.append(np.frombuffer(x.as_py(), width).astype(np.int32))
                 size += len(held[-1])
-                if size >= BLOCK_WORDS or i + 1 == len(texts):
+                if size >= BLOCK_WORDS or i + 1 == len(said):
                     for k, hits in enumerate(searcher.search(held)):
                         found[first + k] += [dict(zip(("item_id", "cosine", "lcs", "answer"), h, strict=True)) for h in hits]
                     held, first, size = [], i + 1, 0
-            yield batch.set_column(where, batch.schema.field(where), pa.array(found, batch.schema.field(where).type))
+            batch = batch.set_column(where, batch.schema.field(where), pa.array(found, batch.schema.field(where).type))
+            yield batch.drop_columns([tokens])
 
-    return docs.mapInArrow(search, docs.schema)
+    return rows.mapInArrow(search, docs.schema)
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", into: str = "hits") -> DataFrame:
@@ -318,10 +367,11 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     """
     kind = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double>>"
     out = docs.drop(*[c for c in docs.columns if c.lower() == into.lower()]).withColumn(into, F.array().cast(kind))
+    (tokens,) = free(out, "__tokens")
     rows = ((r[0], r[1]) for r in benchmark.select(F.col(item_id).cast("long"), "text").toLocalIterator())
     blocks = iter(lambda: list(islice(rows, BLOCK_ITEMS)), [])
     blocks = [b for b in map(read_items, blocks) if b.ids]
-    return reduce(lambda df, items: _block_hits(df, text, items, into), blocks, out)
+    return reduce(lambda df, items: _block_hits(df, text, tokens, items, into), blocks, out)
 
 
 def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
