@@ -39,7 +39,7 @@ GRAM = 20
 SPAN = LENGTH - GRAM + 1  # pieces in a string
 PACK_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 20
-BUCKET_BYTES = 16 << 20  # of text whose runs one bucket gets
+BUCKET_BYTES = 8 << 20  # of text whose runs one bucket gets
 HOT = 20_000
 NEVER = np.iinfo(np.int64).max  # stands for a null doc_id: no id is larger
 SETTLED, COMPARE, COMPARE_EACH = 1, 2, 3
