@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 MAX_RARE = 8
+SALTS = 8
 BLANK = 0  # the hash of a line without a word
 
 
@@ -99,7 +100,9 @@ def overlaps(docs: DataFrame) -> DataFrame:
         docs.select("rid", "place", F.explode(F.array_distinct("lines")).alias("line")).where(F.col("line") != BLANK), "lines"
     )
     holders = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("place", "rid")).alias("first")).where("n > 1")
-    held = lines.join(holders.hint("merge"), "line")
+    # a hot line is dealt by salt: its one row of ``holders`` can be repeated
+    salted = holders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = lines.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["line", "salt"])
     rare = held.where(F.col("n") <= MAX_RARE).groupBy("line").agg(F.array_sort(F.collect_list(F.struct("place", "rid"))).alias("who"))
     rare = rare.select(F.posexplode("who").alias("at", "later"), "who").where("at > 0")
     rare = rare.select(F.explode(F.slice("who", F.lit(1), F.col("at"))).alias("earlier"), "later")

@@ -239,6 +239,8 @@ def gram_times(tokens: DataFrame, width: str, weight: np.ndarray, basis: np.ndar
 def singular_vectors(image: np.ndarray, mixture: np.ndarray) -> np.ndarray:
     """The leading right singular vectors of A from ``image`` = A'A ``mixture``, by the Nystroem form: one pass over A is enough."""
     shift = 1e-9 * np.linalg.norm(image)
+    if not shift:
+        return mixture  # no passage has any word of the benchmark
     image = image + shift * mixture
     core = mixture.T @ image
     values, turn = np.linalg.eigh((core + core.T) / 2)

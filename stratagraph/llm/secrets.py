@@ -24,7 +24,7 @@ from .scratch import written
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-OPAQUE = r"[A-Za-z0-9+/_=-]{20,}"
+OPAQUE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your_|xxxx|0000000|1234567"
 KINDS = ("assign", "access", "hex", "opaque", "owned")
 MIN_ASSIGN = 12  # characters of the value
