@@ -61,7 +61,7 @@ def metric_trust_mix(spark, sf_dir):
 
 def metric_useful_edge(spark, sf_dir):
     anchors = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
-    return metrics.useful_edge(anchors, calls(spark, sf_dir).where("ordinal % 100 = 1"), "node", ["src", "dst"])
+    return metrics.useful_edge(anchors, calls(spark, sf_dir).where("dst > src * 2"), "node", ["src", "dst"])
 
 
 def metric_meta_coverage(spark, sf_dir):
@@ -250,7 +250,7 @@ QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_
     "metric_grounding": "SELECT avg((p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45))::INT) AS value FROM (SELECT DISTINCT p_partkey FROM part)",
     "metric_trust_mix": f"""WITH {EVIDENCE}, b AS (SELECT fact, max(CASE derivation_class {_TRUST} ELSE 0 END) AS best FROM evidence WHERE quantity >= 30 GROUP BY 1)
 SELECT avg(CASE WHEN p_size <= 25 THEN 1.0::DOUBLE WHEN p_size <= 40 THEN 0.5 ELSE 0 END * coalesce(best, 0)::DOUBLE) AS value FROM part LEFT JOIN b ON fact = p_partkey""",
-    "metric_useful_edge": f"""WITH {CALLS}, t AS (SELECT src AS n FROM calls WHERE ordinal % 100 = 1 UNION SELECT dst FROM calls WHERE ordinal % 100 = 1)
+    "metric_useful_edge": f"""WITH {CALLS}, t AS (SELECT src AS n FROM calls WHERE dst > src * 2 UNION SELECT dst FROM calls WHERE dst > src * 2)
 SELECT avg((p_partkey IN (SELECT n FROM t))::INT) AS value FROM part""",
     "metric_meta_coverage": f"""WITH {COVERAGE}, {LINKS}, e AS (SELECT unnest(['CALLS', 'IMPORTS', 'EXPOSES', 'instrumented', 'stale', 'DEPLOYS_VIA_CONFIG']) AS name)
 SELECT avg((name IN (SELECT state FROM coverage UNION SELECT side FROM links))::INT) AS value FROM e""",

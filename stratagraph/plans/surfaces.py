@@ -100,15 +100,15 @@ def contract_possible_matches(spark, sf_dir):
 
 
 def _hosts(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", C.host("url").alias("host"), F.split(C.host("url"), r"\.").alias("parts"))
+    return table(spark, sf_dir, "pages").select(F.startswith("url", F.lit("https:")).alias("safe"), C.host("url").alias("host"), F.split(C.host("url"), r"\.").alias("parts"))
 
 
 def runtime_suffix_link(spark, sf_dir):
-    """Hosts linked to the service with their longest known suffix: every third page's three labels, and all pages' two."""
+    """Hosts linked to the service with their longest known suffix: three labels of hosts served by https, and all hosts' two."""
     hosts = _hosts(spark, sf_dir)
     lang = F.regexp_extract(F.col("host"), r"^([a-z])", 1)
     tail = lambda n: F.array_join(F.slice("parts", -n, n), ".")
-    three = hosts.where((F.col("page_id") % 3 == 0) & (F.size("parts") >= 3)).select(tail(3).alias("suffix"), F.concat(F.lit("svc-"), lang).alias("service"))
+    three = hosts.where(F.col("safe") & (F.size("parts") >= 3)).select(tail(3).alias("suffix"), F.concat(F.lit("svc-"), lang).alias("service"))
     two = hosts.where(F.size("parts") >= 2).select(tail(2).alias("suffix"), F.concat(F.lit("zone-"), lang).alias("service"))
     targets = hosts.select(F.col("host").alias("target"), "parts").distinct()
     return resolve.longest_suffix(targets, three.union(two).distinct(), "suffix")
@@ -170,7 +170,7 @@ b AS (SELECT shape, count(*) AS right_rows FROM links WHERE side = 'CALLS' GROUP
 _MET = f"""WITH {SPANS}, met AS (
   SELECT s.key, name, start, stop, "from", "to", start <= "from" AND "to" <= stop AS enclosing
   FROM spans s JOIN ranges r ON s.key = r.key AND start <= "to" AND "from" <= stop)"""
-_HOSTS = f"SELECT page_id, {HOST.format(x='url')} AS host, string_split({HOST.format(x='url')}, '.') AS parts FROM pages"
+_HOSTS = f"SELECT starts_with(url, 'https:') AS safe, {HOST.format(x='url')} AS host, string_split({HOST.format(x='url')}, '.') AS parts FROM pages"
 
 ORACLES = {
     "promotion_demoted": f"{_STATUS} SELECT channel, facts, 'uninstrumented' AS coverage FROM channels WHERE NOT corroborated",
@@ -196,7 +196,7 @@ SELECT * FROM f UNION SELECT page, host, path FROM links WHERE path IN (SELECT p
     "contract_left_only": f"{_CONTRACT} SELECT shape, left_rows FROM a ANTI JOIN b USING (shape)",
     "contract_right_only": f"{_CONTRACT} SELECT shape, right_rows FROM b ANTI JOIN a USING (shape)",
     "runtime_suffix_link": f"""WITH h AS ({_HOSTS}), s AS (
-  SELECT array_to_string(parts[-3:], '.') AS suffix, 'svc-' || regexp_extract(host, '^([a-z])', 1) AS service FROM h WHERE page_id % 3 = 0 AND len(parts) >= 3
+  SELECT array_to_string(parts[-3:], '.') AS suffix, 'svc-' || regexp_extract(host, '^([a-z])', 1) AS service FROM h WHERE safe AND len(parts) >= 3
   UNION SELECT array_to_string(parts[-2:], '.'), 'zone-' || regexp_extract(host, '^([a-z])', 1) FROM h WHERE len(parts) >= 2
 ), t AS (SELECT DISTINCT host AS target, parts FROM h WHERE len(parts) >= 2),
 e AS (SELECT target, parts, unnest(range(2, len(parts) + 1)) AS n_parts FROM t),
