@@ -14,7 +14,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm import decontamination, mixing, repetition, scratch, sharding, simhash
+from stratagraph.llm import decontamination, mixing, nearcopies, repetition, scratch, sharding
 from stratagraph.llm.columns import free
 
 WORDS = 5  # of a shingle in the near-duplicate stage
@@ -46,8 +46,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that with the smallest id, of each group of near copies by SimHash of five-word shingles."""
-    return simhash.one_of_each(docs, "text", "doc_id", WORDS)
+    """One row, that with the smallest id, of each group of near copies: SimHash of five-word shingles, similarity 0.8 and more."""
+    return nearcopies.one_of_each(docs, "text", "doc_id", WORDS)
 
 
 @_stage

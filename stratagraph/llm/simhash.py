@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import free
 from .components import components
 from .scratch import written
 
@@ -167,24 +166,6 @@ def near_duplicates(df: DataFrame, fp: str, doc_id: str) -> DataFrame:
     return labelled.join(ids, "root").select("fp", "component_id")
 
 
-def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5) -> DataFrame:
-    """The rows of ``df``, one of each component: that with the smallest id.
-
-    Null ids come last; of equal ids and of repeated rows one stays.  Texts
-    without words have fingerprint 0 and form one component.  Columns stay as
-    they are.
-    """
-    fp, rid = free(df, "__fp", "__rid")
-    rows = written(with_fingerprint(df, text, width, fp).withColumn(rid, F.monotonically_increasing_id()), "rows")
-    slim = written(rows.select(F.col(fp).alias("fp"), F.col(rid).alias("rid"), F.col(doc_id).alias("id")), "slim")
-    fps = slim.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("first"))
-    fps = written(fps, "fps")
-    roots = components(links(fps.select("fp")))
-    firsts = fps.join(roots, fps["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
-    stay = firsts.select(F.col("first.rid").alias(rid))
-    return rows.join(stay, rid, "left_semi").drop(fp, rid)
-
-
 WIDTH = 3
 
 

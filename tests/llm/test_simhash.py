@@ -77,10 +77,11 @@ def test_links_connect_what_is_near(spark, monkeypatch):
         assert classes(find) == classes(want.get)
 
 
-def test_nulls_repeats_and_clashing_names(spark):
-    rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", None), (2, "a b c d e f", None), (None, None, "y"), (None, "", None), (3, "q r s t u v", "z")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, __fp string")
-    left = simhash.one_of_each(df)
-    assert left.columns == df.columns
-    assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == [(-1, ""), (1, "a b c d e f"), (3, "q r s t u v")]
-    assert simhash.one_of_each(df.where("false")).count() == 0
+def test_null_ids_repeats_and_empty(spark, tmp_path):
+    rows = [(None, "a b c d"), (None, "a b c d"), (7, None), (7, None), (None, "x y z w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, part in enumerate((df, df.where("false"))):
+        part.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+    got = simhash.op3_simhash_bytes(spark, f"{tmp_path}/0").collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.fingerprint == "0" * 16) for r in got) == [(0, 0, False)] * 3 + [(7, 7, True)] * 2
+    assert simhash.op3_simhash_bytes(spark, f"{tmp_path}/1").count() == 0
