@@ -29,8 +29,8 @@ def diverse(df: DataFrame, by: str, limit: int, *order: Column) -> DataFrame:
 
 def round_robin(df: DataFrame, by: str, limit: int, *order: Column) -> DataFrame:
     """One row of each key a round, in order of (round, key), until ``limit``; adds ``round``."""
-    dealt = df.withColumn("round", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long"))
-    return dealt.where(F.col("round") <= limit).orderBy("round", by).limit(limit)
+    dealt = capped(df, [by], limit, *order).withColumnRenamed("place", "round")  # no key needs more rows than that
+    return dealt.withColumn("round", F.col("round").cast("long")).orderBy("round", by).limit(limit)
 
 
 def within_budget(df: DataFrame, size: str, budget: int, *order: Column, least: int = 1) -> DataFrame:
