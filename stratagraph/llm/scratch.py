@@ -7,6 +7,7 @@ Tables are Parquet written by Spark, so they survive lost executors.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,3 +66,13 @@ def release(spark: SparkSession, keep: DataFrame) -> None:
         if not any(f"/{path.rsplit('/', 1)[1]}/" in f for f in read):
             _delete(spark, path)
             del _made[path]
+
+
+@atexit.register
+def _clean() -> None:
+    """Delete what is left when the driver's Python ends while its session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in list(_made):
+            _delete(spark, path)
+            del _made[path]
