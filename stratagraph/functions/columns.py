@@ -143,3 +143,15 @@ def repo_matches(repo: ColumnOrName, wanted: ColumnOrName) -> Column:
     a, b = F.lower(_c(repo)), F.lower(_c(wanted))
     either = ~(F.contains(a, F.lit("/")) & F.contains(b, F.lit("/")))
     return (a == b) | (either & (F.substring_index(a, "/", -1) == F.substring_index(b, "/", -1)))
+
+
+# Words that name an environment, and its rank; 1 is for none of them, 4 for nothing known.
+ENVIRONMENTS = ((("prod", "production", "live"), 0), (("staging", "stage", "preprod", "uat", "qa"), 2), (("dev", "development", "test", "local", "sandbox"), 3))
+
+
+def environment_rank(label: ColumnOrName) -> Column:
+    """0 production, 1 unmarked, 2 staging, 3 development, 4 unknown, by the words of a label or path."""
+    said, out = tokens(label), F.when(_c(label).isNull() | (_c(label) == ""), 4)
+    for names, rank in ENVIRONMENTS:
+        out = out.when(F.arrays_overlap(said, F.array(*[F.lit(n) for n in names])), rank)
+    return out.otherwise(1)

@@ -255,6 +255,105 @@ def python_ast(path: str, text: str) -> Iterator[Row]:
             todo.append((child, inner))
 
 
+def constants(tree: ast.AST) -> dict[str, str]:
+    """Names that a module binds once, to a text that can be told; later ones may build on earlier ones."""
+    bound: dict[str, list[ast.expr]] = {}
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
+            bound.setdefault(node.targets[0].id, []).append(node.value)
+        elif isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name) and node.value is not None:
+            bound.setdefault(node.target.id, []).append(node.value)
+    known: dict[str, str] = {}
+    for _ in range(len(bound)):
+        more = {k: t for k, v in bound.items() if k not in known and len(v) == 1 and (t := text_of(v[0], known)) is not None}
+        if not more:
+            break
+        known |= more
+    return known
+
+
+def text_of(node: ast.AST | None, known: dict[str, str]) -> str | None:
+    """The text of an expression of literals and known names; parts of an f-string that can't be told become ``{}``."""
+    if isinstance(node, ast.Constant):
+        return node.value if isinstance(node.value, str) else None
+    if isinstance(node, ast.Name):
+        return known.get(node.id)
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
+        a, b = text_of(node.left, known), text_of(node.right, known)
+        return None if a is None or b is None else a + b
+    if isinstance(node, ast.JoinedStr):
+        parts = [text_of(v.value if isinstance(v, ast.FormattedValue) else v, known) for v in node.values]
+        return "".join("{}" if x is None else x for x in parts)
+    return None
+
+
+def _calls(text: str) -> Iterator[tuple[ast.Call, dict[str, str]]]:
+    tree = ast.parse(text)
+    known = constants(tree)
+    yield from ((node, known) for node in ast.walk(tree) if isinstance(node, ast.Call))
+
+
+_CLIENTS = ("requests", "httpx", "session", "client", "self.session", "self.client")
+
+
+@adapter("python-http-client", "*.py", "CALLS_ENDPOINT")
+def http_client(path: str, text: str) -> Iterator[Row]:
+    """Calls of HTTP clients whose URL or path can be told."""
+    for call, known in _calls(text):
+        f = call.func
+        if isinstance(f, ast.Attribute) and f.attr in (*_METHODS, "request") and ast.unparse(f.value) in _CLIENTS:
+            args = list(call.args)
+            method = text_of(args.pop(0), known) if f.attr == "request" and args else f.attr
+            url = text_of(args[0] if args else next((k.value for k in call.keywords if k.arg == "url"), None), known)
+            if url and method and (url.startswith("/") or "://" in url):
+                yield "Endpoint", f"{method.upper()} {url}", "CALLS_ENDPOINT", path, call.lineno
+
+
+#: Queue and topic calls, the argument that names the channel, and the direction.
+TRANSPORT = {
+    "send_message": ("QueueUrl", "PRODUCES_EVENT"), "send_message_batch": ("QueueUrl", "PRODUCES_EVENT"), "receive_message": ("QueueUrl", "CONSUMES_EVENT"),
+    "delete_message": ("QueueUrl", "CONSUMES_EVENT"), "publish": ("TopicArn", "PRODUCES_EVENT"), "publish_batch": ("TopicArn", "PRODUCES_EVENT"),
+}
+
+
+@adapter("python-boto3-transport", "*.py", "PRODUCES_EVENT CONSUMES_EVENT UNRESOLVED_CHANNEL")
+def transport(path: str, text: str) -> Iterator[Row]:
+    """Queue and topic calls; a channel that can't be told is reported as such."""
+    for call, known in _calls(text):
+        if isinstance(call.func, ast.Attribute) and call.func.attr in TRANSPORT:
+            argument, relation = TRANSPORT[call.func.attr]
+            given = next((k.value for k in call.keywords if k.arg == argument), None)
+            if given is not None:
+                name = text_of(given, known)
+                yield ("EventChannel", re.split(r"[:/]", name)[-1], relation, path, call.lineno) if name else ("EventChannel", ast.unparse(given), "UNRESOLVED_CHANNEL", path, call.lineno)
+
+
+@adapter("python-web-routes", "*.py", "EXPOSES_ENDPOINT")
+def web_routes(path: str, text: str) -> Iterator[Row]:
+    """Routers with a prefix, and tables of ``path()`` and ``re_path()``."""
+    tree = ast.parse(text)
+    known, prefix = constants(tree), {}
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Assign) and isinstance(node.value, ast.Call) and isinstance(node.targets[0], ast.Name):
+            given = {k.arg: text_of(k.value, known) for k in node.value.keywords}
+            if found := given.get("prefix") or given.get("url_prefix"):
+                prefix[node.targets[0].id] = found.rstrip("/")
+    for node in ast.walk(tree):
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+            for d in node.decorator_list:
+                if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and isinstance(d.func.value, ast.Name) and d.func.value.id in prefix and d.args:
+                    route = text_of(d.args[0], known)
+                    if route is not None and d.func.attr in _ROUTE_CALLS:
+                        method = "GET" if d.func.attr == "route" else d.func.attr.upper()
+                        yield "Endpoint", f"{method} {prefix[d.func.value.id]}/{route.lstrip('/')}", "EXPOSES_ENDPOINT", node.name, d.lineno
+        elif isinstance(node, ast.Assign) and isinstance(node.targets[0], ast.Name) and node.targets[0].id == "urlpatterns" and isinstance(node.value, ast.List):
+            for e in node.value.elts:
+                if isinstance(e, ast.Call) and isinstance(e.func, ast.Name) and e.func.id in ("path", "re_path") and len(e.args) > 1:
+                    route = text_of(e.args[0], known)
+                    if route is not None and not ast.unparse(e.args[1]).startswith("include("):
+                        yield "Endpoint", f"ANY /{route.lstrip('^/').rstrip('$')}", "EXPOSES_ENDPOINT", ast.unparse(e.args[1]), e.lineno
+
+
 _JS_IMPORT = re.compile(r"""(?:\bimport\s+(?:[^'"]*?\sfrom\s+)?|\brequire\(\s*|\bexport\s+[^'"]*?\sfrom\s+)['"]([^'"]+)['"]""")
 _JS_ROUTE = re.compile(r"""\b(?:app|router|server|fastify)\.(get|put|post|delete|patch|options|head|all)\(\s*['"`](/[^'"`]*)['"`]""")
 _JS_FETCH = re.compile(r"""\b(?:fetch|axios(?:\.(get|put|post|delete|patch))?)\(\s*['"`]((?:https?://|/)[^'"`]*)['"`]""")
@@ -378,6 +477,15 @@ def coverage(rows: DataFrame) -> DataFrame:
     return rows.groupBy("adapter", state.alias("state")).agg(F.count_distinct("path").alias("files"))
 
 
+def refused_stacks(imports: DataFrame, stacks: dict[str, str], handled: tuple[str, ...]) -> DataFrame:
+    """(stack, files, reason): frameworks that are imported, by the packages of ``stacks``, and that no adapter handles."""
+    table = imports.sparkSession.createDataFrame(list(stacks.items()) or [("", "")], "package string, stack string")
+    rows = imports.withColumn("package", F.lower(F.regexp_extract("target", r"^@?[^./]+(?:/[^/]+)?", 0)))
+    rows = rows.withColumn("package", F.when(F.startswith("package", F.lit("@")), F.col("package")).otherwise(F.substring_index("package", "/", 1)))
+    found = rows.join(F.broadcast(table), "package").where(~F.col("stack").isin(*handled, ""))  # the table is configuration
+    return found.groupBy("stack").agg(F.count_distinct("path").alias("files"), F.lit("no_adapter_for_known_stack").alias("reason"))
+
+
 def selected(rows: DataFrame) -> DataFrame:
     """(service, target): workloads whose labels hold all of a service's selector, in its namespace."""
     pairs = lambda r, who: rows.where(F.col("relation") == r).select(F.col("name").alias(who), F.substring_index("name", "/", 1).alias("ns"), F.col("target").alias("pair")).distinct()

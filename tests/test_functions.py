@@ -14,6 +14,7 @@ CASES = [
     (C.is_queue_name, "jobs.fifo", True), (C.is_queue_name, "a b", False), (C.is_domain, "*.A-b.example.com", True), (C.is_domain, "-a.com", False),
     (C.is_ipv4, "1.2.3.255", True), (C.is_ipv4, "1.2.3.256", False), (C.urn_part, "a b/c", "a%20b%2Fc"), (C.status, "", "canonical"),
     (C.status, None, "canonical"), (C.is_test_path, "src/tests/x.py", True), (C.is_test_path, "a/b.spec.ts", True), (C.is_test_path, "contest/a.py", False),
+    (C.environment_rank, "deploy/Prod-eu.yaml", 0), (C.environment_rank, "a/stageOne", 2), (C.environment_rank, "x", 1), (C.environment_rank, None, 4),
     (C.unversioned, "/v1/Users/{}/posts", ["users", "posts"]),
 ]
 

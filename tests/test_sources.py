@@ -7,6 +7,9 @@ TREE = {
     ".env": "# c\nexport API_KEY='x y' # z\nEMPTY=\nbad line\n",
     "site/CNAME": "Docs.Example.org\nnot a domain\n",
     "app/api.py": "import os\nfrom .db import q\n@app.route('/u/<id>', methods=['GET', 'POST'])\ndef user(id):\n    return q(os.getenv('DB_URL'))\nclass A:\n    async def m(self):\n        self.run()\n",
+    "app/out.py": "import requests, boto3\nBASE = 'https://api.example.com'\nURL = BASE + '/v1'\nrequests.post(f'{URL}/pay/{id}')\nclient.request('PUT', '/x')\nrequests.get(where)\n"
+    "q.send_message(QueueUrl='https://sqs/1/jobs', MessageBody='')\nq.receive_message(QueueUrl=find())\n",
+    "app/urls.py": "r = APIRouter(prefix='/shop')\n@r.get('/cart')\ndef cart(): ...\nurlpatterns = [path('u/<int:id>/', views.user), path('sub/', include('x'))]\n",
     "app/broken.py": "def (:\n",
     "spec/openapi.json": json.dumps({"paths": {"/a/{x}": {"get": {}, "delete": {}, "summary": "s"}}}),
     "p/svc.proto": "package shop.v1;\n/* service Old {\n rpc Gone(A) returns (B); } */\nservice Cart {\n  rpc Add(Item) returns (Ok); // rpc No(\n}\n",
@@ -47,6 +50,9 @@ def test_tree(spark, tmp_path):
         ("python-ast", "app.api", "IMPORTS", ".db"), ("python-ast", "app.api:user", "CALLS", "q"), ("python-ast", "app.api:A.m", "CALLS", "self.run"),
         ("python-ast", "DB_URL", "REFERENCES_ENV_VAR", "app.api"), ("config-openapi", "GET /a/{x}", "DOCUMENTS_ENDPOINT", "spec/openapi.json"),
         ("config-openapi", "DELETE /a/{x}", "DOCUMENTS_ENDPOINT", "spec/openapi.json"), ("config-grpc-proto", "POST /shop.v1.Cart/Add", "EXPOSES_ENDPOINT", "shop.v1.Cart"),
+        ("python-http-client", "POST https://api.example.com/v1/pay/{}", "CALLS_ENDPOINT", "app/out.py"), ("python-http-client", "PUT /x", "CALLS_ENDPOINT", "app/out.py"),
+        ("python-boto3-transport", "jobs", "PRODUCES_EVENT", "app/out.py"), ("python-boto3-transport", "find()", "UNRESOLVED_CHANNEL", "app/out.py"),
+        ("python-web-routes", "GET /shop/cart", "EXPOSES_ENDPOINT", "cart"), ("python-web-routes", "ANY /u/<int:id>/", "EXPOSES_ENDPOINT", "views.user"),
         ("config-kubernetes-yaml", "shop.example.com", "ROUTES_DOMAIN_TO_DEPLOY", "default/web"), ("config-serverless-yaml", "GET /users/{id}", "EXPOSES_ENDPOINT", "f"),
         ("config-serverless-yaml", "sqs:jobs", "CONSUMES_EVENT", "f"), ("config-terraform", "jobs", "DEFINES_CHANNEL", "aws_sqs_queue.jobs"),
         ("config-terraform", "aws_sqs_queue.jobs", "CONSUMES_EVENT", "x.y"), ("config-terraform", "api.example.com", "REFERENCES_DOMAIN", "x.y"),
@@ -62,7 +68,10 @@ def test_tree(spark, tmp_path):
     assert not {g for g in got if g[1] in ("no.example.com", "open.example.com", "POST /shop.v1.Cart/No", "-r")}
     assert {(r.path, r.error.split(":")[0]) for r in rows.where("error IS NOT NULL").collect()} == {("app/broken.py", "SyntaxError")}
     assert {tuple(r) for r in adapters.selected(rows).collect()} == {("default/web", "default/web")}
-    assert adapters.coverage(rows).where("state = 'uninstrumented'").count() == 1
+    assert adapters.coverage(rows).where("state = 'uninstrumented'").count() == 4  # each adapter of Python files
+    used = rows.where("relation = 'IMPORTS'").select("path", "target")
+    refused = adapters.refused_stacks(used, {"requests": "requests", "boto3": "boto3", "flask": "flask"}, ("requests",))
+    assert [tuple(r) for r in refused.collect()] == [("boto3", 1, "no_adapter_for_known_stack")]
 
 
 def test_snapshot_round_trip(spark, tmp_path):
