@@ -93,3 +93,56 @@ def linked_packages(dependencies: DataFrame, providers: DataFrame) -> DataFrame:
     one = (F.col("providers") == 1) & (F.col("matched") == F.col("consumers"))
     bucket = F.when(one, "candidate_internal").when(F.col("providers") > 0, "candidate_internal_ambiguous").otherwise("consumer_manifest_external")
     return per.select("package", "consumers", "providers", F.when(one, F.col("only")).alias("provider"), bucket.alias("bucket"))
+
+
+# The endings that a module name may leave out, in the order in which they are tried, and what Node brings along.
+ENDINGS = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".json", "/index.ts", "/index.tsx", "/index.js")
+RESOURCES = ("css", "scss", "less", "svg", "png", "jpg", "gif", "woff", "woff2", "html", "md")
+NODE_BUILTINS = (
+    "assert", "buffer", "child_process", "cluster", "crypto", "dns", "events", "fs", "http", "http2", "https", "net", "os", "path", "perf_hooks",
+    "process", "querystring", "readline", "stream", "string_decoder", "timers", "tls", "url", "util", "v8", "vm", "worker_threads", "zlib",
+)
+
+
+def joined_path(folder: Column, target: Column) -> Column:
+    """``target`` seen from ``folder``, without ``.`` and ``..``; steps above the root are left out."""
+    parts = F.filter(F.split(F.concat_ws("/", folder, target), "/"), lambda s: ~s.isin("", "."))
+    none = F.array().cast("array<string>")
+    step = lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, s))
+    return F.array_join(F.aggregate(parts, none, step), "/")
+
+
+def resolved_script_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame, declared: DataFrame, base_url: str = "") -> DataFrame:
+    """``imports`` (path, target) with ``resolved`` (a path of ``files``) and ``category``.
+
+    ``aliases`` (pattern, replacement), with one ``*`` at most, are the configuration's; the longest prefix wins.  Then
+    targets are tried from ``base_url``; each with ENDINGS in order.  ``declared`` (package) are the dependencies.
+    """
+    rows = imports.select("path", "target").distinct()
+    folder = F.regexp_replace("path", r"/?[^/]*$", "")
+    relative = F.startswith("target", F.lit("."))
+    prefix = F.substring_index("pattern", "*", 1)
+    starred = F.contains("pattern", F.lit("*"))
+    fits = F.when(starred, F.startswith("target", prefix)).otherwise(F.col("target") == F.col("pattern"))
+    rest = F.when(starred, F.substr("target", F.char_length(prefix) + 1)).otherwise("")
+    by_alias = rows.where(~relative).join(aliases, fits).select(  # a configuration holds few patterns
+        "path", "target", F.struct(F.lit(1).alias("rule"), (-F.char_length(prefix)).alias("spec")).alias("order"),
+        joined_path(F.lit(base_url), F.replace(F.col("replacement"), F.lit("*"), rest)).alias("base"),
+    )
+    plain = lambda test, rule, from_: rows.where(test).select("path", "target", F.struct(F.lit(rule).alias("rule"), F.lit(0).alias("spec")).alias("order"), joined_path(from_, F.col("target")).alias("base"))
+    tries = plain(relative, 0, folder).union(by_alias).union(plain(~relative, 2, F.lit(base_url)))
+    tries = tries.select("path", "target", "order", "base", F.posexplode(F.array(*[F.lit(e) for e in ENDINGS])).alias("ending", "text"))
+    tries = tries.withColumn("file", F.concat("base", "text"))
+    found = tries.join(files.select(F.col("path").alias("file")).distinct(), "file")
+    best = found.groupBy("path", "target").agg(F.min_by("file", F.struct("order", "ending")).alias("resolved"))
+    package = F.regexp_extract("target", r"^(@[^/]+/[^/]+|[^@/][^/]*)", 1)
+    names = declared.select(F.col("package")).distinct().withColumn("is_declared", F.lit(True))
+    out = rows.join(best, ["path", "target"], "left").withColumn("package", package).join(names, "package", "left")
+    resource = F.regexp_extract("target", r"\.([a-z0-9]+)$", 1).isin(*RESOURCES)
+    category = (
+        F.when(relative & resource, "relative_resource_module").when(relative, F.when(F.col("resolved").isNotNull(), "relative_internal_module").otherwise("unknown"))
+        .when(F.regexp_replace("package", "^node:", "").isin(*NODE_BUILTINS), "node_builtin")
+        .when(F.col("resolved").isNotNull(), F.when(resource, "resource_module").otherwise("internal_module"))
+        .when(F.col("is_declared"), "third_party").otherwise("unknown")
+    )
+    return out.select("path", "target", "resolved", category.alias("category"))

@@ -32,3 +32,18 @@ def test_packages(spark):
         "lib-a": (2, 1, "h/o/lib", "candidate_internal"), "dup": (1, 2, None, "candidate_internal_ambiguous"),
         "ext": (1, 0, None, "consumer_manifest_external"), "fork": (2, 1, None, "candidate_internal_ambiguous"),
     }
+
+
+def test_script_imports(spark):
+    files = ["src/a/x.ts", "src/a/y/index.tsx", "src/lib/z.d.ts", "src/lib/special/z.ts", "src/app.css", "shared/util.js"]
+    wanted = {
+        "./x": ("relative_internal_module", "src/a/x.ts"), "../a/y": ("relative_internal_module", "src/a/y/index.tsx"), "../app.css": ("relative_resource_module", "src/app.css"),
+        "@lib/z": ("internal_module", "src/lib/z.d.ts"), "@lib/special/z": ("internal_module", "src/lib/special/z.ts"), "shared/util": ("internal_module", "shared/util.js"),
+        "node:fs": ("node_builtin", None), "react-dom/server": ("third_party", None), "@o/p/sub": ("third_party", None), "./none": ("unknown", None), "left": ("unknown", None),
+    }
+    imports = spark.createDataFrame([("src/a/main.ts", t) for t in wanted], "path string, target string")
+    out = linking.resolved_script_imports(
+        imports, spark.createDataFrame([(f,) for f in files], "path string"), spark.createDataFrame([("@lib/*", "src/lib/*"), ("@lib/special/*", "src/lib/special/*")], "pattern string, replacement string"),
+        spark.createDataFrame([("react-dom",), ("@o/p",)], "package string"),
+    )
+    assert {r.target: (r.category, r.resolved) for r in out.collect()} == wanted
