@@ -44,7 +44,7 @@ def secrets(df: DataFrame, text: Column, repository: Column, owner: Column, keep
     """A row for each row of ``df``: the ``keep`` columns, counts, and spans.
 
     Result: the columns of ``keep``; n_assign, n_access, n_hex, n_owned,
-    n_copied (long); base and all: arrays of structs (start, kind, end), kind
+    n_copied, most_repositories (long: of the row's most widely held value, in how many repositories it is); base and all: arrays of structs (start, kind, end), kind
     being an index of KINDS, in order of start and kind.  Offsets are code
     points, ends exclusive.  A null text counts as an empty one and has no
     spans; a null repository or owner counts as one unnamed repository or owner.
@@ -88,40 +88,39 @@ def secrets(df: DataFrame, text: Column, repository: Column, owner: Column, keep
         F.col("value").rlike(PLACEHOLDER).alias("placeholder"),
     )
     spans = written(spans, "spans")
+    # distinct repositories of an owner, then owners: each value is one row an owner before the last exchange
     holders = (
-        spans.groupBy("hash", "repository", "owner")
-        .agg(F.max("placeholder").alias("placeholder"))
+        spans.groupBy("hash", "owner", "repository")
+        .agg(F.max("placeholder").alias("dummy"))
+        .groupBy("hash", "owner")
+        .agg(F.count("*").alias("repositories"), F.max("dummy").alias("dummy"))
         .groupBy("hash")
-        .agg(F.count_distinct("owner").alias("owners"), F.max("placeholder").alias("placeholder"))
+        .agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.max("dummy").alias("dummy"))
     )
-    judged = spans.join(holders.select("hash", "owners", F.col("placeholder").alias("dummy")), "hash").select(
+    judged = spans.join(holders, "hash").select(
         "rid",
         F.struct(F.col("value_start").alias("start"), F.lit(4).alias("kind"), "end").alias("span"),
         ((F.col("owners") <= MAX_OWNERS) & ~F.col("dummy")).alias("owned"),
+        "repositories",
     )
-    base = spans.where("kind < 3").select("rid", F.struct("start", "kind", "end").alias("span"), F.lit(None).cast("boolean").alias("owned"))
-    by_row = (
-        base.union(judged)
-        .groupBy("rid")
-        .agg(
-            F.array_sort(F.collect_set(F.when(F.col("owned").isNull(), F.col("span")))).alias("base"),
-            F.array_sort(F.collect_set(F.when(F.coalesce("owned", F.lit(True)), F.col("span")))).alias("all"),
-            F.count_distinct(F.when(F.col("owned"), F.col("span"))).alias("n_owned"),
-            F.count_distinct(F.when(~F.col("owned"), F.col("span"))).alias("n_copied"),
-        )
-    )
-    kind = "array<struct<start:bigint,kind:int,end:bigint>>"
-    joined = hits.select("rid", *[f"keep_{n}" for n in keep]).join(by_row, "rid", "left")
-    of = lambda a: F.coalesce(F.col(a).cast(kind), F.array().cast(kind))
-    count = lambda k: F.size(F.filter(of("base"), lambda x: x["kind"] == k)).cast("long")
-    return joined.select(
-        *[F.col(f"keep_{n}").alias(n) for n in keep],
-        *[count(k).alias(f"n_{KINDS[k]}") for k in range(3)],
-        F.coalesce("n_owned", F.lit(0)).alias("n_owned"),
-        F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
-        of("base").alias("base"),
-        of("all").alias("all"),
+    base = spans.where("kind < 3").select("rid", F.struct("start", "kind", "end").alias("span"), *_nulls("owned boolean", "repositories long"))
+    kept = hits.select("rid", F.struct(*[F.col(f"keep_{n}").alias(n) for n in keep]).alias("keep"))
+    found = base.union(judged).withColumn("keep", F.lit(None).cast(kept.schema["keep"].dataType))
+    whole = kept.select("rid", F.lit(None).cast(found.schema["span"].dataType).alias("span"), *_nulls("owned boolean", "repositories long"), "keep").union(found)
+    by_row = whole.groupBy("rid").agg(
+        F.first("keep", ignorenulls=True).alias("keep"),
+        F.array_sort(F.collect_set(F.when(F.col("owned").isNull(), F.col("span")))).alias("base"),
+        F.array_sort(F.collect_set(F.when(F.coalesce("owned", F.lit(True)), F.col("span")))).alias("all"),
+        F.size(F.collect_set(F.when(F.col("owned"), F.col("span")))).cast("long").alias("n_owned"),
+        F.size(F.collect_set(F.when(~F.col("owned"), F.col("span")))).cast("long").alias("n_copied"),
+        F.coalesce(F.max("repositories"), F.lit(0)).alias("most_repositories"),
     )
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return by_row.select("keep.*", *[count(k).alias(f"n_{KINDS[k]}") for k in range(3)], "n_owned", "n_copied", "most_repositories", "base", "all")
+
+
+def _nulls(*columns: str) -> list[Column]:
+    return [F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in columns)]
 
 
 def as_text(spans: Column) -> Column:
@@ -138,7 +137,7 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets(docs, F.col("text"), F.col("source"), F.substring_index("source", "/", 1), {"doc_id": F.col("doc_id")})
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex",
-        F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("all")).alias("spans"), "n_owned", "n_copied",
+        F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("all")).alias("spans"), "n_owned", "n_copied", "most_repositories",
     )
 
 
@@ -148,34 +147,34 @@ QUERIES = {"op4_secret_ownership": op4_secret_ownership}
 def _sql(kind: int, pattern: str, value: str, passing: str) -> str:
     p = pattern.replace("'", "''")
     return f"""
-  SELECT row, owner, {kind} AS kind, pos - length(m) AS start, pos AS stop, {value.format(p=p)} AS value FROM (
-    SELECT row, owner, m, sum(g + length(m)) OVER (PARTITION BY row ORDER BY n)::BIGINT AS pos FROM (
-      SELECT row, owner, unnest(ms) AS m, unnest(list_transform(gaps[1:len(ms)], lambda x: length(x))) AS g, unnest(range(1, len(ms) + 1)) AS n
-      FROM (SELECT row, owner, regexp_extract_all(text, '{p}') AS ms, regexp_split_to_array(text, '{p}') AS gaps FROM d)))
+  SELECT row, owner, repository, {kind} AS kind, pos - length(m) AS start, pos AS stop, {value.format(p=p)} AS value FROM (
+    SELECT row, owner, repository, m, sum(g + length(m)) OVER (PARTITION BY row ORDER BY n)::BIGINT AS pos FROM (
+      SELECT row, owner, repository, unnest(ms) AS m, unnest(list_transform(gaps[1:len(ms)], lambda x: length(x))) AS g, unnest(range(1, len(ms) + 1)) AS n
+      FROM (SELECT row, owner, repository, regexp_extract_all(text, '{p}') AS ms, regexp_split_to_array(text, '{p}') AS gaps FROM d)))
   WHERE {passing.format(p=p)}"""
 
 
 ORACLES = {
     "op4_secret_ownership": rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, split_part(coalesce(source, ''), '/', 1) AS owner FROM documents
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS repository, split_part(coalesce(source, ''), '/', 1) AS owner FROM documents
 ), spans AS (
   {_sql(0, ASSIGN, "regexp_extract(m, '{p}', 2)", f"length(regexp_extract(m, '{{p}}', 2)) >= {MIN_ASSIGN}")}
   UNION ALL {_sql(1, ACCESS, "m", "true")}
   UNION ALL {_sql(2, HEX, "m", "true")}
   UNION ALL {_sql(3, OPAQUE, "m", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')")}
 ), holders AS (
-  SELECT value, count(DISTINCT owner) <= {MAX_OWNERS} AND NOT bool_or(regexp_matches(value, '{PLACEHOLDER}')) AS owned FROM spans GROUP BY value
+  SELECT value, count(DISTINCT owner) <= {MAX_OWNERS} AND NOT bool_or(regexp_matches(value, '{PLACEHOLDER}')) AS owned, count(DISTINCT repository) AS repositories FROM spans GROUP BY value
 ), listed AS (
-  SELECT DISTINCT row, kind, start, stop, NULL::BOOLEAN AS owned FROM spans WHERE kind < 3
-  UNION ALL SELECT DISTINCT row, 4, stop - length(value), stop, owned FROM spans JOIN holders USING (value)
+  SELECT DISTINCT row, kind, start, stop, NULL::BOOLEAN AS owned, NULL::BIGINT AS repositories FROM spans WHERE kind < 3
+  UNION ALL SELECT DISTINCT row, 4, stop - length(value), stop, owned, repositories FROM spans JOIN holders USING (value)
 ), named AS (
   SELECT *, ['assign', 'access', 'hex', 'opaque', 'owned'][kind + 1] || ':' || start || ':' || stop AS said FROM listed
 )
 SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   sha256(coalesce(string_agg(said, ',' ORDER BY start, kind, stop) FILTER (owned IS NULL), '')) AS base_sha256,
   coalesce(string_agg(said, ',' ORDER BY start, kind, stop) FILTER (coalesce(owned, true)), '') AS spans,
-  count(*) FILTER (owned) AS n_owned, count(*) FILTER (NOT owned) AS n_copied
+  count(*) FILTER (owned) AS n_owned, count(*) FILTER (NOT owned) AS n_copied, coalesce(max(repositories), 0) AS most_repositories
 FROM d LEFT JOIN named USING (row) GROUP BY row, doc_id
 """
 }
