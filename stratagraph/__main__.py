@@ -14,7 +14,7 @@ VERBS = (
     "summary", "find_callers", "reverse_impact", "find_callees", "blast_radius", "modules_importing", "top_dependencies", "dependency_info", "who_imports",
     "top_internal_dependencies", "top_fan_in_symbols", "modules_importing_both", "dependency_path", "cross_repo_links", "repo_dependencies", "domain_references",
     "endpoints", "reconcile_endpoints", "event_channels", "deploy_mappings", "reconcile_contract", "lookup_symbol", "symbols_in_file", "evidence_for_call",
-    "coverage_gaps", "service_brief",
+    "coverage_gaps", "service_brief", "planning_context", "runtime_map",
 )
 LISTS = ("left_predicate", "right_predicate", "left_repo", "right_repo", "docs_repo", "backend_repo", "client_repo")
 NUMBERS = ("line", "limit", "depth", "max_depth", "group_prefix_depth")

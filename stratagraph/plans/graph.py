@@ -370,6 +370,35 @@ class Graph:
             sections.setdefault(r.pop("predicate"), []).append(r)
         return {"status": "ok", "service": rows[0]["label"], "counts": counts, "sections": sections}
 
+    def planning_context(self, term: str, limit: int = 5) -> dict:
+        """What a term names, over all kinds in one scan, and the facts around it if that is one entity alone."""
+        last = F.substring_index(F.substring_index(F.lower("label"), "/", -1), ".", -1)
+        rows = self.entities.where((F.lower("label") == term.lower()) | (last == term.lower()))
+        place = F.row_number().over(Window.partitionBy("kind").orderBy("label", "entity_id"))
+        n = F.count("*").over(Window.partitionBy("kind"))
+        shown = listed(rows.withColumns({"place": place, "n": n}).where(F.col("place") <= clamp(limit)).select("kind", "n", "entity_id", "label").orderBy("kind", "label"))
+        if not shown:
+            return {"status": "not_found", "matches": []}
+        if len(shown) > 1 or shown[0]["n"] > 1:
+            return {"status": "ambiguous", "matches": shown}
+        at = shown[0]["entity_id"]
+        near = self.joined.where((F.col("subject_id") == at) | (F.col("object_id") == at))
+        near = near.withColumn("direction", F.when(F.col("subject_id") == at, "out").otherwise("in"))
+        counts = listed(near.groupBy("predicate", "direction").agg(F.count("*").alias("n")).orderBy("predicate", "direction"))
+        place = F.row_number().over(Window.partitionBy("predicate", "direction").orderBy("ordinal"))
+        top = near.withColumn("place", place).where(F.col("place") <= clamp(limit)).orderBy("predicate", "direction", "place")
+        return {"status": "ok", "matches": shown, "counts": counts, "facts": listed(top.select("predicate", "direction", "subject_label", "object_label", "canonical_status"))}
+
+    def runtime_map(self, limit: int = 50) -> dict:
+        """By service, what it exposes, produces, consumes and runs on; and the domains that lead to a deploy without a service."""
+        names = {"EXPOSES_ENDPOINT": "endpoints", "PRODUCES_EVENT": "produced", "CONSUMES_EVENT": "consumed", "DEPLOYS_VIA_CONFIG": "deploys"}
+        rows = self._facts(*names).where("subject_kind = 'Service'")
+        services = rows.groupBy(F.col("subject_label").alias("service")).agg(*[F.count_if(F.col("predicate") == p).alias(n) for p, n in names.items()])
+        routes = self._facts("ROUTES_DOMAIN_TO_DEPLOY").select(F.col("subject_label").alias("domain"), "object_id", F.col("object_label").alias("target"))
+        linked = self.facts.where("predicate = 'DEPLOYS_VIA_CONFIG'").select("object_id").distinct()
+        loose = routes.join(linked, "object_id", "left_anti").select("domain", "target").distinct()
+        return {"status": "ok", "services": listed(services.orderBy("service").limit(clamp(limit))), "unlinked_routes": listed(loose.orderBy("domain", "target").limit(clamp(limit)))}
+
     def review(self, ranges: list[tuple[str, int, int]], depth: int = 2, limit: int = 25) -> dict:
         """From changed ranges (path, first line, last line) to the most specific symbols and who calls them."""
         spark = self.facts.sparkSession

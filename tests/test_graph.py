@@ -95,6 +95,14 @@ def test_surfaces(g):
     assert g.summary()["entities"]["CodeSymbol"] == 7 and [x["coverage_id"] for x in g.coverage_gaps()["gaps"]] == ["c1"]
 
 
+def test_packets(g):
+    assert g.planning_context("a")["status"] == "ambiguous" and g.planning_context("none")["status"] == "not_found"
+    one = g.planning_context("requests")
+    assert one["counts"] == [{"predicate": "IMPORTS", "direction": "in", "n": 2}, {"predicate": "RESOLVES_TO_REPO", "direction": "out", "n": 1}] and len(one["facts"]) == 3
+    runtime = g.runtime_map()
+    assert runtime == {"status": "ok", "services": [{"service": "pay", "endpoints": 2, "produced": 1, "consumed": 0, "deploys": 1}], "unlinked_routes": []}
+
+
 def test_budget():
     packet = {"status": "ok", "a": list(range(500)), "b": ["x"]}
     small = graph.within(packet, 300)
