@@ -156,7 +156,9 @@ def without_common_blocks(df: DataFrame, doc_id: str = "doc_id", text: str = "te
     slim = written(slim, "hashes")
     firsts = slim.groupBy("whole").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     copied = firsts.where("n > 1").select("whole", F.col("first.rid").alias("first"))
-    marked = written(slim.join(copied.hint("merge"), "whole", "left").withColumn("copy", F.coalesce(F.col("first") != F.col("rid"), F.lit(False))), "marked")
+    salted = copied.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = slim.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))  # so are the copies of one text
+    marked = written(dealt.join(salted.hint("merge"), ["whole", "salt"], "left").withColumn("copy", F.coalesce(F.col("first") != F.col("rid"), F.lit(False))), "marked")
     single = marked.where(~F.col("copy")).select("rid", "place", "lines")
     pairs = overlaps(single)
     body = single.select("rid", "lines")
