@@ -153,6 +153,14 @@ def _bucket(least: np.ndarray, buckets: int) -> np.ndarray:
     return ((least >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _grouped(to: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order that puts equal buckets together, and (bucket, first, end) of each that is there."""
+    order = np.argsort(to, kind="stable")
+    there = to[order]
+    heads = np.flatnonzero(np.append(True, there[1:] != there[:-1])) if len(to) else np.zeros(0, np.int64)
+    return order, list(zip(there[heads].tolist(), heads.tolist(), np.append(heads[1:], len(to)).tolist(), strict=True)) if len(to) else []
+
+
 def _cells(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
     for i in range(batch.num_rows):
@@ -168,13 +176,11 @@ def _entries(buckets: int):
                 cells: dict[int, list] = {}
                 for _, ids, sizes, raw in _blocks(docs, lengths, body):
                     r = Runs(raw, sizes)
-                    to = _bucket(r.least, buckets)
-                    order = np.argsort(to, kind="stable")
-                    cut = np.searchsorted(to[order], np.arange(buckets + 1))
+                    order, groups = _grouped(_bucket(r.least, buckets))
                     short = np.concatenate([r.least[order].view(np.uint8).reshape(-1, 8)[:, :5], r.content[order].view(np.uint8).reshape(-1, 8)[:, :7]], axis=1)
                     doc = ids[r.doc[order]]
-                    for b in np.flatnonzero(np.diff(cut)):
-                        cells.setdefault(int(b), []).append((doc[cut[b] : cut[b + 1]], short[cut[b] : cut[b + 1]]))
+                    for b, at, end in groups:
+                        cells.setdefault(b, []).append((doc[at:end], short[at:end]))
                 rows = [(pack, b, np.concatenate([x[0] for x in v]).tobytes(), np.concatenate([x[1] for x in v]).tobytes()) for b, v in cells.items()]
                 if rows:
                     yield _batch(rows, ("pack", pa.int64()), ("bucket", pa.int64()), ("docs", pa.binary()), ("entries", pa.binary()))
@@ -219,13 +225,11 @@ def _flagged(docs: bytes, lengths: bytes, body: bytes, verdicts: list, buckets:
     used = dict.fromkeys(by, 0)
     for first, ids, sizes, raw in _blocks(docs, lengths, body):
         r = Runs(raw, sizes)
-        to = _bucket(r.least, buckets)
-        order = np.argsort(to, kind="stable")
-        cut = np.searchsorted(to[order], np.arange(buckets + 1))
-        flags = np.zeros(len(to), np.uint8)
-        for b in np.flatnonzero(np.diff(cut)).tolist():
-            flags[order[cut[b] : cut[b + 1]]] = by[b][used[b] : used[b] + cut[b + 1] - cut[b]]
-            used[b] += cut[b + 1] - cut[b]
+        order, groups = _grouped(_bucket(r.least, buckets))
+        flags = np.zeros(len(order), np.uint8)
+        for b, at, end in groups:
+            flags[order[at:end]] = by[b][used[b] : used[b] + end - at]
+            used[b] += end - at
         yield first, ids, sizes, raw, r, flags
 
 
