@@ -401,3 +401,25 @@ def op9_bwt_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_bwt_substrings": op9_bwt_substrings}
+
+ORACLES = {
+    "op9_bwt_substrings": """
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id, 9223372036854775807) AS id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+  SELECT row, id, unnest(range(length(h) // 2 - 49)) AS i, unnest(list_transform(range(length(h) // 2 - 49), lambda i: md5(substr(h, 2 * i + 1, 100)))) AS s
+  FROM d WHERE length(h) >= 100
+), marked AS (
+  SELECT row, i, id > min(id) OVER (PARTITION BY s) AS later FROM strings
+), bytes AS (
+  SELECT p.row, p.i, p.b, max(coalesce(m.later, false)) OVER (PARTITION BY p.row ORDER BY p.i ROWS 49 PRECEDING) AS gone
+  FROM (SELECT row, unnest(range(length(h) // 2)) AS i, unnest(regexp_extract_all(h, '..')) AS b FROM d) p LEFT JOIN marked m ON m.row = p.row AND m.i = p.i
+), runs AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY row ORDER BY i), false) AS begins FROM bytes
+), each AS (
+  SELECT row, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM runs GROUP BY row
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN each USING (row)
+"""
+}
