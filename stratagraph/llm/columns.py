@@ -16,7 +16,3 @@ def free(df: DataFrame, *wanted: str) -> list[str]:
         out.append(name)
     return out
 
-
-def quoted(name: str) -> str:
-    """``name`` as one identifier, dots and backticks included."""
-    return "`" + name.replace("`", "``") + "`"

@@ -49,9 +49,6 @@ STRIPES = 16
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
-HIT = T.ArrayType(
-    T.StructType([T.StructField("item_id", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in ("cosine", "lcs", "answer")]])
-)
 
 
 def words(text: str | None) -> list[str]:

@@ -43,6 +43,7 @@ LOOSE = 58  # differing bits of the indexed 256; at similarity 0.8 they are 39,
 SIMILAR = 0.8
 MARGIN = 0.07  # of the estimate, nearly three standard errors; links within it are checked
 BLOCK = 2048
+MAX_BROADCAST = 100_000  # hot lists, of twelve bytes each; more are joined by an exchange
 SEED = 42
 _WORDS = BITS // 64
 _STEPS = (np.arange(1, _WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
@@ -202,10 +203,12 @@ def links(nodes: DataFrame) -> DataFrame:
     values = head.select("node", "head", *[byte(p).alias(f"b{p}") for p in range(INDEX_BYTES)])
     keys = [F.lit(k << 16) + F.col(f"b{p}") * 256 + F.col(f"b{q}") for k, (p, q) in enumerate(PAIRS)]
     entries = values.select("node", "head", F.explode(F.array(*keys)).alias("list"))
-    sizes = values.select(F.explode(F.array(*keys)).alias("list")).groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = values.select(F.explode(F.array(*keys)).alias("list")).groupBy("list").agg(F.count("*").alias("size"))
+    hot = written(sizes.where(F.col("size") > BLOCK).select("list", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "hot")
+    hot = F.broadcast(hot) if hot.count() <= MAX_BROADCAST else hot.hint("merge")
     dealt = (
-        entries.join(sizes.hint("merge"), "list")
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        entries.join(hot, "list", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "head")

@@ -142,8 +142,6 @@ def with_repetition(df: DataFrame, text: str = "text", into: str = "stats") -> D
     A null text counts as an empty one: all zero.  All rows and columns stay,
     repeated rows too; a column already named ``into`` is replaced.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     df = df.drop(*[c for c in df.columns if c.lower() == into.lower()])
     out = T.StructType([*df.schema.fields, T.StructField(into, STATS)])
 
@@ -155,7 +153,6 @@ def with_repetition(df: DataFrame, text: str = "text", into: str = "stats") -> D
                 schema = pa.schema([*batch.schema, pa.field(into, made)])
             yield from _blocks(iter([batch]), text, schema)
 
-    to_arrow_schema(out)  # a type that Arrow lacks fails here, by name
     return df.mapInArrow(run, out)
 
 

@@ -45,11 +45,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+BATCH_ROWS = 1000  # of texts that a Python worker holds at once
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """The session's batches of rows for Python are BATCH_ROWS at most while this is open."""
+    old = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_ROWS if int(old) <= 0 else min(int(old), BATCH_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, old)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back: later uses don't compute it again."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
