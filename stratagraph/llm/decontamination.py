@@ -307,8 +307,8 @@ def _item_entries(items: Items, weight: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key // len(weight), key % len(weight), count
 
 
-def _block_hits(docs: DataFrame, text: str, tokens: str, items: Items, into: str) -> DataFrame:
-    """``docs`` with the hits of one block of items appended to the array column ``into``; the words' numbers go to ``tokens`` meanwhile."""
+def _block_hits(docs: DataFrame, text: str, tokens: str, items: Items, into: str, keep_text: bool) -> DataFrame:
+    """``docs``, perhaps without ``text``, with the hits of one block of items appended to the array column ``into``; the words' numbers go to ``tokens`` meanwhile."""
     spark = docs.sparkSession
     n_words = len(items.vocabulary)
     width = "<i2" if n_words < 1 << 15 else "<i4"
@@ -317,9 +317,11 @@ def _block_hits(docs: DataFrame, text: str, tokens: str, items: Items, into: str
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [numbered(t.as_py(), shared.value).astype(width).tobytes() for t in batch.column(batch.schema.get_field_index(text))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], schema=batch.schema.append(pa.field(tokens, pa.binary())))
+            batch = batch.append_column(tokens, pa.array(made, pa.binary()))
+            yield batch if keep_text else batch.drop_columns([text])
 
-    rows = docs.mapInArrow(tokenise, T.StructType([*docs.schema.fields, T.StructField(tokens, T.BinaryType())]))
+    out = T.StructType([f for f in docs.schema.fields if keep_text or f.name != text])
+    rows = docs.mapInArrow(tokenise, T.StructType([*out.fields, T.StructField(tokens, T.BinaryType())]))
     rows = written(rows, "tokens")
     slim = rows.select(F.col(tokens).alias("tokens"))
     df, total = document_frequencies(slim, n_words, width)
@@ -354,13 +356,13 @@ def _block_hits(docs: DataFrame, text: str, tokens: str, items: Items, into: str
             batch = batch.set_column(where, batch.schema.field(where), pa.array(found, batch.schema.field(where).type))
             yield batch.drop_columns([tokens])
 
-    return rows.mapInArrow(search, docs.schema)
+    return rows.mapInArrow(search, out)
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", into: str = "hits") -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", into: str = "hits", keep_text: bool = True) -> DataFrame:
     """``docs`` with the array column ``into``: the benchmark items found in each whole text.
 
-    Rows and other columns stay, repeated rows too; a column already named ``into`` is
+    Without ``keep_text`` the text isn't carried along.  Rows and other columns stay, repeated rows too; a column already named ``into`` is
     replaced.  Null and empty texts have no hits, null and empty items are in no text; a
     null item_id stays null.  An empty benchmark or an empty table gives no hits.
     """
@@ -370,13 +372,15 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     rows = ((r[0], r[1]) for r in benchmark.select(F.col(item_id).cast("long"), "text").toLocalIterator())
     blocks = iter(lambda: list(islice(rows, BLOCK_ITEMS)), [])
     blocks = [b for b in map(read_items, blocks) if b.ids]
-    return reduce(lambda df, items: _block_hits(df, text, tokens, items, into), blocks, out)
+    last = len(blocks) - 1
+    out = reduce(lambda df, b: _block_hits(df, text, tokens, b[1], into, keep_text or b[0] < last), enumerate(blocks), out)
+    return out if keep_text or blocks else out.drop(text)
 
 
 def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item found in it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    hits = with_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hits = with_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=False)
     return hits.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
