@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.functions import columns as C
 from stratagraph.operators import aggregate, joins, resolve, traversal
+from stratagraph.operators.lineage import cut
 
 from .projections import CALLS, EVIDENCE, IMPORTS, PROVIDERS, calls, evidence, imports, provider_candidates, table
 
@@ -86,17 +87,22 @@ def evidence_for_call(spark, sf_dir):
     return found.select("src", "dst", "ordinal", "line", "derivation_class")
 
 
+def _edges(spark, sf_dir):
+    """The calls, joined once: each step of a walk reads them again."""
+    return cut(calls(spark, sf_dir))
+
+
 def blast_radius(spark, sf_dir):
-    edges = traversal.walked_edges(calls(spark, sf_dir), _node(spark, PART), 2)
+    edges = traversal.walked_edges(_edges(spark, sf_dir), _node(spark, PART), 2)
     return edges.orderBy("depth", "ordinal", "src", "dst").limit(2000).select("src", "dst", "depth", "ordinal")
 
 
 def transitive_callers(spark, sf_dir):
-    return traversal.reach(traversal.backward(calls(spark, sf_dir)), _node(spark, PART, PART + 1), 2).where("depth > 0")
+    return traversal.reach(traversal.backward(_edges(spark, sf_dir)), _node(spark, PART, PART + 1), 2).where("depth > 0")
 
 
 def reverse_impact_tiers(spark, sf_dir):
-    out = traversal.impact_tiers(calls(spark, sf_dir), _node(spark, PART), 3)
+    out = traversal.impact_tiers(_edges(spark, sf_dir), _node(spark, PART), 3)
     return out.select("depth", "affected", "no_incoming")
 
 
