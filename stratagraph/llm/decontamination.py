@@ -12,6 +12,11 @@ that space.  Each candidate is then checked by the
 longest common subsequence of its words with the item's, and by whether the
 item's answer, its last sentence, is in it too.
 
+Frequent words don't count in that space, and items that are copied often are
+made of them, so a second, exact way adds every passage around which enough of
+an item's words are present, whatever their weight: it counts them by blocks of
+``STRIDE`` words, and takes for granted the most frequent ``ASSUMED`` of the item.
+
 The benchmark is the stated query set: items are taken in blocks of
 ``BLOCK_ITEMS``, whose vocabulary bounds what is broadcast; each block is held
 against all passages.  Texts are read once, as word numbers that are written
@@ -38,11 +43,15 @@ from .scratch import written
 PASSAGE = 64
 STRIDE = PASSAGE // 2
 RANK = 224
-MAX_SHARE = 0.01  # words in more passages than this don't count in retrieval
+MAX_SHARE = 0.01  # words in more passages than this don't count in the latent space
 MIN_COSINE = 0.25  # of the part of the item that the space holds
 SURE = 0.8  # share of the item's words in common order that is enough alone,
 LIKELY = 0.55  # and with the answer
 ANSWER = 0.75  # share of the answer's words that makes it present
+ASSUMED = 0.25  # share of an item's words, the most frequent, that the exact way doesn't look up
+GROUP_ITEMS = 256  # counted at a time,
+GROUP_BLOCKS = 8192  # over so many blocks of words, or one text
+GROUP_PAIRS = 8192  # aligned at a time
 BLOCK_ITEMS = 4000
 BLOCK_WORDS = 200_000
 STRIPES = 16
@@ -259,16 +268,99 @@ def common(item: list[int], window: list[int]) -> int:
     return len(item) - row.bit_count()
 
 
+class Group:
+    """Items whose windows take equally many blocks: ``before`` a passage's first one, and ``after`` it."""
+
+    def __init__(self, items: Items, which: list[int], before: int, after: int, df: np.ndarray):
+        self.which, self.before, self.after = np.array(which), before, after
+        self.tokens = [items.tokens[k] for k in which]
+        tokens = [np.array(t) for t in self.tokens]
+        self.size = np.array([len(t) for t in tokens])
+        free = [int(n * ASSUMED) for n in self.size]
+        self.need = np.ceil(self.size * LIKELY - free - 1e-9)
+        looked = [t[np.argsort(-df[t], kind="stable")[n:]] for t, n in zip(tokens, free, strict=True)]
+        said, owner = np.concatenate(looked), np.repeat(np.arange(len(which)), [len(t) for t in looked])
+        self.holders = owner[np.argsort(said, kind="stable")]  # by word; as often as the item says it
+        self.count = np.bincount(said, minlength=len(df))
+        self.first = np.cumsum(self.count) - self.count
+        self.masks = None
+        if self.size.max() <= 64:
+            words_, place = np.unique(np.concatenate(tokens), return_inverse=True)
+            self.place = np.full(len(df) + 1, len(words_))  # the last place is for words that no item has
+            self.place[words_] = np.arange(len(words_))
+            self.masks = np.zeros((len(which), len(words_) + 1), np.uint64)
+            at = np.concatenate([np.arange(n) for n in self.size]).astype(np.uint64)
+            np.bitwise_or.at(self.masks, (np.repeat(np.arange(len(which)), self.size), place), np.uint64(1) << at)
+
+    def candidates(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word, own item) of each passage whose window may have LIKELY of the item's words."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        blocks = -(-sizes // STRIDE)
+        base = np.cumsum(blocks) - blocks
+        token = np.concatenate(texts)
+        block = np.repeat(base, sizes) + (np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // STRIDE
+        use = token >= 0
+        use[use] = self.count[token[use]] > 0
+        key = np.unique(block[use] * len(self.count) + token[use])
+        row, said = key // len(self.count), key % len(self.count)
+        n = self.count[said]
+        at = np.arange(n.sum()) + np.repeat(self.first[said] - (np.cumsum(n) - n), n)
+        width, total = len(self.which), int(blocks.sum())
+        held = np.zeros((total + 1, width), np.int32)
+        np.cumsum(np.bincount(np.repeat(row, n) * width + self.holders[at], minlength=total * width).reshape(total, width), axis=0, out=held[1:])
+        passages_ = np.maximum(blocks - 1, np.minimum(blocks, 1))
+        text = np.repeat(np.arange(len(texts)), passages_)
+        start = np.arange(len(text)) - np.repeat(np.cumsum(passages_) - passages_, passages_)
+        low, high = base[text] + np.maximum(start - self.before, 0), base[text] + np.minimum(start + self.after, blocks[text])
+        row, own = np.nonzero(held[high] - held[low] >= self.need)
+        return text[row], start[row] * STRIDE, own
+
+    def lcs(self, texts: list[np.ndarray], text: np.ndarray, start: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The longest common subsequences of items with their windows, as ``common``; many at a time if an item's words fit a number's bits."""
+        if self.masks is None:
+            return np.array([common(t, w.tolist()) for t, w in ((self.tokens[o], window(texts[x], s, len(self.tokens[o]))) for x, s, o in zip(text, start, own, strict=True))], np.int64)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        token, base = self.place[np.concatenate(texts)], np.cumsum(sizes) - sizes
+        out = np.zeros(len(text), np.int64)
+        for i in range(0, len(text), GROUP_PAIRS):
+            x, s, o = (v[i : i + GROUP_PAIRS] for v in (text, start, own))
+            n = self.size[o]
+            low, high = base[x] + np.maximum(s - n // 2, 0), base[x] + np.minimum(s + np.maximum(PASSAGE, n) + n // 2, sizes[x])
+            full = np.uint64(2**64 - 1) >> (64 - n).astype(np.uint64)
+            row, flat, at, none = full.copy(), self.masks.ravel(), o * self.masks.shape[1], self.masks.shape[1] - 1
+            for k in range(int((high - low).max())):
+                said = np.where(low + k < high, token[np.minimum(low + k, len(token) - 1)], none)
+                hit = row & flat[at + said]
+                row = (row + hit | row - hit) & full
+            out[i : i + GROUP_PAIRS] = n - np.bitwise_count(row)
+        return out
+
+
+def window(text: np.ndarray, start: int, n: int) -> np.ndarray:
+    """The words that a passage's candidate of ``n`` words is aligned with."""
+    return text[max(0, start - n // 2) : start + max(PASSAGE, n) + n // 2]
+
+
+def grouped(items: Items, df: np.ndarray) -> list[Group]:
+    by: dict[tuple[int, int], list[int]] = {}
+    for k, t in enumerate(items.tokens):
+        half = len(t) // 2
+        by.setdefault((-(-half // STRIDE), -(-(max(PASSAGE, len(t)) + half) // STRIDE)), []).append(k)
+    return [Group(items, which[i : i + GROUP_ITEMS], *reach, df) for reach, which in sorted(by.items()) for i in range(0, len(which), GROUP_ITEMS)]
+
+
 class Searcher:
-    """Holds texts against a block of items."""
+    """Holds texts against a block of items; ``df`` tells which words are frequent."""
 
-    def __init__(self, items: Items, weight: np.ndarray, basis: np.ndarray):
+    def __init__(self, items: Items, weight: np.ndarray, basis: np.ndarray, df: np.ndarray):
         self.items, self.weight, self.basis = items, weight, basis.astype(np.float32)
         none = np.zeros(0, np.int64)
         p = Passages(*_item_entries(items, weight), none, none, np.zeros(len(items.ids), np.int64))
         self.rows, _, _, _, y = project(p, weight, self.basis)
         self.latent = (y / np.maximum((y**2).sum(axis=1, keepdims=True), 1e-9)).T
+        self.column = {int(k): i for i, k in enumerate(self.rows)}
         self.tokens = [np.array(t) for t in items.tokens]
+        self.groups = grouped(items, df)
 
     def search(self, texts: list[np.ndarray]) -> list[list[tuple]]:
         """For each text the (item_id, cosine, lcs, answer) that pass, the best of each item."""
@@ -281,24 +373,52 @@ class Searcher:
             for a, b in zip(*np.nonzero(cosine >= MIN_COSINE), strict=True):
                 row, item = rows[i + a], int(self.rows[b])
                 text, start = int(p.text[row]), int(p.start[row])
-                tokens, n = self.items.tokens[item], len(self.items.tokens[item])
-                window = texts[text][max(0, start - n // 2) : start + max(PASSAGE, n) + n // 2]
-                there[window] = True
-                most = there[self.tokens[item]].sum() / n  # no common subsequence is longer
-                there[window] = False
-                if most < LIKELY:
-                    continue
-                window = window.tolist()
-                lcs = common(tokens, window) / n
-                best = out[text].get(item)
-                if lcs < LIKELY or best and best[2] >= lcs:
-                    continue
-                tail = self.items.answers[item]
-                answer = common(tokens[-tail:], window) / tail
-                if lcs >= SURE or answer >= ANSWER:
-                    out[text][item] = (self.items.ids[item], float(cosine[a, b]), lcs, answer)
+                said = window(texts[text], start, len(self.tokens[item]))
+                there[said] = True
+                most = there[self.tokens[item]].sum() / len(self.tokens[item])  # no common subsequence is longer
+                there[said] = False
+                if most >= LIKELY:
+                    self._align(out[text], item, said, lambda a=a, b=b, cosine=cosine: float(cosine[a, b]))
+        self._search_present(texts, p, out)
         return [[hits[k] for k in sorted(hits)] for hits in out]
 
+    def _align(self, hits: dict, item: int, said: np.ndarray, cosine) -> None:
+        """Puts the item into ``hits`` if it passes and is better than what is there."""
+        tokens, said = self.items.tokens[item], said.tolist()
+        lcs = common(tokens, said) / len(tokens)
+        best = hits.get(item)
+        if lcs < LIKELY or best and best[2] >= lcs:
+            return
+        tail = self.items.answers[item]
+        answer = common(tokens[-tail:], said) / tail
+        if lcs >= SURE or answer >= ANSWER:
+            hits[item] = (self.items.ids[item], cosine(), lcs, answer)
+
+    def _search_present(self, texts: list[np.ndarray], p: Passages, out: list[dict]) -> None:
+        """Adds to ``out`` what passes by the words that are present, frequent ones too."""
+        blocks = np.cumsum([-(-len(t) // STRIDE) for t in texts])
+        first = 0
+        while first < len(texts):
+            upto = max(first + 1, int(np.searchsorted(blocks, (blocks[first - 1] if first else 0) + GROUP_BLOCKS, "right")))
+            some = texts[first:upto]
+            for g in self.groups if any(map(len, some)) else ():
+                text, start, own = g.candidates(some)
+                if len(text):
+                    lcs = g.lcs(some, text, start, own)
+                    for k in np.flatnonzero(lcs >= g.size[own] * LIKELY - 1e-9):
+                        where, item, at = first + int(text[k]), int(g.which[own[k]]), int(start[k])
+                        self._align(out[where], item, window(texts[where], at, int(g.size[own[k]])), lambda w=where, at=at, item=item: self._cosine(p, w, at, item))
+            first = upto
+
+    def _cosine(self, p: Passages, text: int, start: int, item: int) -> float:
+        """The cosine of a passage with an item; 0 if either has no word that counts."""
+        row = int(np.searchsorted(p.text, text)) + start // STRIDE
+        low, high = np.searchsorted(p.row, [row, row + 1])
+        if low == high or item not in self.column:
+            return 0.0
+        one = Passages(np.zeros(high - low, np.int64), p.column[low:high], p.count[low:high], p.text[row : row + 1], p.start[row : row + 1], p.outside[row : row + 1])
+        return float(project(one, self.weight, self.basis)[4][0] @ self.latent[:, self.column[item]])
+
 
 def _item_entries(items: Items, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pairs = [(k, w) for k, t in enumerate(items.tokens) for w in t if weight[w] > 0]
@@ -337,7 +457,7 @@ def _block_hits(docs: DataFrame, text: str, tokens: str, items: Items, into: str
     np.add.at(start, columns, ((1 + np.log(counts)) * weight[columns])[:, None] * mix[at])
     mixture = np.linalg.qr(start + 1e-6 * rng.normal(size=start.shape))[0]
     basis = singular_vectors(gram_times(slim, width, weight, mixture), mixture)
-    model = spark.sparkContext.broadcast((items, weight, basis))
+    model = spark.sparkContext.broadcast((items, weight, basis, df))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(*model.value)

@@ -57,3 +57,37 @@ def test_passages_cover_every_word():
         assert (whole >= [len(t) for t in texts]).all()
         if not overlap:
             assert whole.tolist() == [len(t) for t in texts]
+
+
+def test_items_of_frequent_words_are_found(spark):
+    """Planted in a third of all documents, and in two of ten; whole, with every fifth word changed, and in long texts."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    filler = lambda n: " ".join(word() for _ in range(n))
+    items = [filler(24) + ". " + filler(6) + "." for _ in range(20)] + [filler(150) + ". " + filler(6) + "."]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    changed = items[3].split()
+    for i in range(0, 24, 5):
+        changed[i] = word()
+    for n, every, item in ((300, 3, 3), (10, 5, 3), (300, 3, 20)):
+        rows = [(i, f"{filler(70)} {items[item]} {filler(90)}" if i % every == 0 else filler(160)) for i in range(n)]
+        rows += [(n, " ".join(changed))] if item == 3 else []
+        want = {(i, item) for i, _ in rows if i % every == 0 or i == n}
+        got = d.with_hits(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+        assert {(r.doc_id, h.item_id) for r in got for h in r.hits} == want
+
+
+def test_alignment_of_many_against_one_by_one():
+    rng = np.random.default_rng(8)
+    items = d.Items([*range(30)], [rng.integers(0, 12, int(rng.integers(1, 65))).tolist() for _ in range(30)], [1] * 30, {})
+    texts = [rng.integers(-1, 12, int(rng.integers(0, 300))).astype(np.int32) for _ in range(12)]
+    for g in d.grouped(items, np.arange(12)):
+        text, start, own = g.candidates(texts)
+        want = [d.common(g.tokens[o], d.window(texts[x], s, len(g.tokens[o])).tolist()) for x, s, o in zip(text, start, own, strict=True)]
+        assert len(want) and g.lcs(texts, text, start, own).tolist() == want
+        found = {(int(x), int(s), int(o)) for x, s, o in zip(text, start, own, strict=True)}
+        for o, t in enumerate(g.tokens):
+            for x, said in enumerate(texts):
+                for s in range(0, max(len(said) - d.STRIDE, min(len(said), 1)), d.STRIDE):
+                    enough = d.common(t, d.window(said, s, len(t)).tolist()) >= d.LIKELY * len(t)
+                    assert not enough or (x, s, o) in found
