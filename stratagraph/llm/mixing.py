@@ -3,11 +3,11 @@
 A classifier learnt from the labelled table gives each document a posterior
 over domains, so a document belongs to several domains in part.  Nonnegative
 rates, one a document, are fitted so that the expected tokens of each domain,
-sum of rate x tokens x posterior, meet the targets: least squares in the metric
-of the domains' Gram matrix, by projected gradient from rate 1.  A step needs
-only the domains' current totals, one distributed sum; a document's rate is
-replayed from the steps so far, so nothing is written between steps and a lost
-task only repeats its rows.
+sum of rate x tokens x posterior, meet the targets with the least change from
+rate 1.  The best rates are max(0, 1 - posterior . dual) for one number a domain,
+which Newton's method finds: a pass sums the totals and the Gram matrix of the
+documents with positive rates for several lengths of a step, so nothing is
+written between steps and a lost task only repeats its rows.
 
 Bound: at most ``MAX_LABELLED`` labelled rows train the classifier, on the
 driver.  Tokens and posteriors are computed in one pass and written; the steps
@@ -16,6 +16,7 @@ read those few numbers a document, and the driver gets one vector a task.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +33,9 @@ from .scratch import written
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.85, 0.12, 0.03)  # shares of all tokens
 MAX_LABELLED = 6000
-MAX_STEPS = 25
 CLOSE = 1e-6  # of all tokens
+SOFT = 1e-10  # weight of the dual's square; targets out of reach are met as nearly as can be
+LENGTHS = 0.5 ** np.arange(16)  # of a step, tried in one pass
 
 @dataclass
 class Classifier:
@@ -124,28 +126,54 @@ def _total(df: DataFrame, of, size: int) -> np.ndarray:
 
 
 def fit_rates(members: DataFrame, targets: tuple[float, ...]) -> list[np.ndarray]:
-    """The steps that bring the expected domain tokens of ``members`` (n_tokens, posterior) to ``targets`` x all tokens.
+    """The step that brings the expected domain tokens of ``members`` (n_tokens, posterior) to ``targets`` x all tokens.
 
-    Ends when every domain is within CLOSE of its target, or after MAX_STEPS.  Without tokens there are no steps.
+    Ends when every domain is within CLOSE of its target, or when no length of a Newton step betters the convex
+    dual any more; a warning then gives what the nearest totals are off.  Without tokens there are no steps.
     """
     k = len(DOMAINS)
+    goal = np.array(targets, float) / sum(targets)
+
+    def passed(duals: np.ndarray) -> tuple[float, list[tuple[np.ndarray, np.ndarray, float]]]:
+        """All tokens, and for each dual the domains' totals, the Gram matrix of positive rates and half the sum of squared rates."""
+
+        def sums(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+            out = [n.sum()]
+            for dual in duals:
+                rate = rates(p, [dual])
+                held = p[rate > 0]
+                out += [*((rate * n) @ p), *(held.T @ (held * n[rate > 0, None])).ravel(), (n * rate**2).sum() / 2]
+            return np.array(out)
 
-    def gram(n: np.ndarray, p: np.ndarray) -> np.ndarray:
-        return np.append((p.T @ (p * n[:, None])).ravel(), n.sum())
+        size = k + k * k + 1
+        whole, *rest = _total(members, sums, 1 + size * len(duals))
+        rows = np.array(rest).reshape(-1, size) / (whole or 1)
+        return whole, [(r[:k], r[k:-1].reshape(k, k), float(r[-1])) for r in rows]
 
-    start = _total(members, gram, k * k + 1)
-    whole = start[-1]
+    dual = np.zeros(k)
+    whole, (now,) = passed(dual[None])
     if not whole:
         return []
-    metric = np.linalg.pinv(start[:-1].reshape(k, k) / whole, rcond=1e-9)
-    goal = np.array(targets, float) / sum(targets)
-    steps: list[np.ndarray] = []
-    for _ in range(MAX_STEPS):
-        have = _total(members, lambda n, p, steps=tuple(steps): (rates(p, steps) * n) @ p, k) / whole
-        if np.abs(have - goal).max() <= CLOSE:
+    cost = lambda d, at: at[2] + goal @ d + SOFT / 2 * (d @ d)
+    while np.abs(now[0] - goal).max() > CLOSE:
+        slope = goal - now[0] + SOFT * dual
+        step = -np.linalg.solve(now[1] + SOFT * np.eye(k), slope)
+        tried = dual + LENGTHS[:, None] * step
+        _, found = passed(tried)
+        costs = [cost(d, at) for d, at in zip(tried, found, strict=True)]
+        best = int(np.argmin(costs))
+        off, before = (np.abs(goal - at[0] + SOFT * d).max() for d, at in ((tried[best], found[best]), (dual, now)))
+        had = cost(dual, now)
+        if costs[best] >= had and off >= before:
+            break
+        stalled = had - costs[best] <= 1e-14 * abs(had) and off >= before / 2
+        dual, now = tried[best], found[best]
+        if stalled:
             break
-        steps.append(metric @ (have - goal))
-    return steps
+    residual = np.abs(now[0] - goal).max()
+    if residual > CLOSE:
+        warnings.warn(f"no rates meet the targets: the nearest found are off by {residual:.2g} of all tokens", stacklevel=2)
+    return [dual]
 
 
 def with_rates(df: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, names: tuple[str, str, str] = ("n_tokens", "posterior", "rate")) -> DataFrame:
@@ -159,7 +187,7 @@ def with_rates(df: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TA
     n_tokens, posterior, rate = names
     rows = written(with_posteriors(df, model, "text", n_tokens, posterior), "members")
     steps = fit_rates(rows.select(n_tokens, posterior), targets)
-    shared = df.sparkSession.sparkContext.broadcast(steps)  # MAX_STEPS vectors at most
+    shared = df.sparkSession.sparkContext.broadcast(steps)  # one vector at most
     out = T.StructType([*rows.schema.fields, T.StructField(rate, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

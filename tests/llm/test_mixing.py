@@ -1,4 +1,7 @@
+import warnings
+
 import numpy as np
+import pytest
 
 from stratagraph.llm import mixing
 
@@ -35,3 +38,20 @@ def test_nulls_repeats_clashes_and_empty(spark):
     kept = mixing.resampled(docs, labels)
     assert kept.columns == docs.columns and mixing.resampled(docs.where("false"), labels).count() == 0
     assert mixing.with_rates(docs, labels.where("false")).count() == 4
+
+
+def test_targets_are_met_when_rates_are_cut_at_zero(spark):
+    """Corpora far from the targets, with undecided posteriors; unreachable targets are reported."""
+    rng = np.random.default_rng(1)
+    for shares in ((0.6, 0.3, 0.1), (0.5, 0.1, 0.4), (0.1, 0.2, 0.7)):
+        domain = rng.choice(3, 600, p=shares)
+        p = np.array([rng.dirichlet(0.6 + 3 * np.eye(3)[d]) for d in domain])
+        n = rng.integers(1, 400, 600)
+        rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
+        with warnings.catch_warnings():
+            warnings.simplefilter("error", UserWarning)
+            rate = mixing.rates(p, mixing.fit_rates(rows, mixing.TARGETS))
+        assert (rate == 0).any() and np.abs((rate * n) @ p / n.sum() - mixing.TARGETS).max() <= 1.01 * mixing.CLOSE
+    rows = spark.createDataFrame([(10, [0.5, 0.3, 0.2]), (10, [0.4, 0.3, 0.3])], "n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="off by"):
+        assert np.isfinite(mixing.fit_rates(rows, mixing.TARGETS)).all()
