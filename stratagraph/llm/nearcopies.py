@@ -13,8 +13,11 @@ in few.  In a list, shared positional bytes are tallied, pairs under
 partner left are looked at again with their whole fingerprints.  Links that are
 surely similar stand; those near the limit are checked by the texts' shingles.
 
-A list yields the greatest spanning forest of its similarities, never all pairs:
-whatever limit is put on its links, they connect what all pairs would connect.
+A list first yields the greatest spanning forest of its estimates, never all pairs:
+whatever limit is put on the estimate, they connect what all pairs would connect.
+As the check by shingles may drop a link of the forest whose displaced neighbour
+would hold, the lists are then read again, and every pair near the limit whose
+texts the checked links leave apart is checked too.
 Lists over ``BLOCK`` entries are dealt out by pairs of blocks.  A list's length
 grows with the corpus over 65536; three positions a list suit more than some
 hundred million texts.
@@ -196,27 +199,56 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], t) for k, t in enumerate(kinds)], names=["a", "b", "alike"])
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b, alike): links that connect the likely similar ones of ``nodes`` (node long, fp binary, n int; fingerprints are distinct)."""
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) near the limit, of each list's entries (list, i, j, node, fp, n, root), with different roots."""
+    for table, firsts, sizes in _runs(batches):
+        made: list[np.ndarray] = []
+        if len(firsts):
+            fp, count = _words(table["fp"], BITS // 8), table["n"].to_numpy().astype(float)
+            node, root = table["node"].to_numpy(), table["root"].to_numpy()
+            for s, n in zip(firsts.tolist(), sizes.tolist(), strict=True):
+                for k in range(s, s + n - 1):
+                    rest = np.flatnonzero(root[k + 1 : s + n] != root[k]) + k + 1
+                    if len(rest):
+                        other = node[rest[similarity(fp[k], count[k], fp[rest], count[rest]) >= SIMILAR - MARGIN]]
+                        made.append(np.column_stack([np.minimum(node[k], other), np.maximum(node[k], other)]))
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *made]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+
+
+ORDER = ("list", "i", "j")
+
+
+def entries(nodes: DataFrame) -> DataFrame:
+    """(list, i, j, node, fp, n): the entries with a partner, of ``nodes`` (node long, fp binary, n int; fingerprints are distinct)."""
     head = nodes.select("node", F.substring("fp", 1, INDEX_BYTES).alias("head"))
     byte = lambda p: F.conv(F.hex(F.substring("head", p + 1, 1)), 16, 10).cast("long")
     values = head.select("node", "head", *[byte(p).alias(f"b{p}") for p in range(INDEX_BYTES)])
     keys = [F.lit(k << 16) + F.col(f"b{p}") * 256 + F.col(f"b{q}") for k, (p, q) in enumerate(PAIRS)]
-    entries = values.select("node", "head", F.explode(F.array(*keys)).alias("list"))
+    listed = values.select("node", "head", F.explode(F.array(*keys)).alias("list"))
     sizes = values.select(F.explode(F.array(*keys)).alias("list")).groupBy("list").agg(F.count("*").alias("size"))
     hot = written(sizes.where(F.col("size") > BLOCK).select("list", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "hot")
     hot = F.broadcast(hot) if hot.count() <= MAX_BROADCAST else hot.hint("merge")
     dealt = (
-        entries.join(hot, "list", "left")
+        listed.join(hot, "list", "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "head")
     )
-    order = ("list", "i", "j")
-    partnered = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_partnered, "list long, i int, j int, node long")
-    whole = partnered.join(nodes.hint("merge"), "node")
-    return whole.select(*order, "node", "fp", "n").repartition(*order).sortWithinPartitions(*order).mapInArrow(_linked, "a long, b long, alike double")
+    partnered = dealt.repartition(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_partnered, "list long, i int, j int, node long")
+    return partnered.join(nodes.hint("merge"), "node").select(*ORDER, "node", "fp", "n")
+
+
+def links(listed: DataFrame) -> DataFrame:
+    """(a, b, alike): links that connect the likely similar nodes of the ``entries``, by estimates."""
+    return listed.repartition(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_linked, "a long, b long, alike double")
+
+
+def open_pairs(listed: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): all pairs of the ``entries`` near the limit that ``known`` (node, root) leaves in different components."""
+    rows = listed.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.repartition(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_open, "a long, b long").distinct()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,14 +278,18 @@ def checked(near: DataFrame, rows: DataFrame, text: str, rid: str, width: int) -
 
 
 def similar(nodes: DataFrame, rows: DataFrame, text: str, rid: str, width: int) -> DataFrame:
-    """(node, root) for the ``nodes`` that aren't their component's smallest.  Links that sure ones make needless aren't checked."""
-    near = written(links(nodes).groupBy("a", "b").agg(F.max("alike").alias("alike")), "near")
+    """(node, root) for the ``nodes`` that aren't their component's smallest.  Pairs that checked links make needless aren't checked."""
+    listed = written(entries(nodes), "entries")
+    near = written(links(listed).groupBy("a", "b").agg(F.max("alike").alias("alike")), "near")
     sure = near.where(F.col("alike") >= SIMILAR + MARGIN).select("a", "b")
     known = components(sure)
     ends = [known.select(F.col("node").alias(e), F.col("root").alias(f"root_{e}")) for e in ("a", "b")]
     open_ = near.where(F.col("alike") < SIMILAR + MARGIN).join(ends[0], "a", "left").join(ends[1], "b", "left")
-    open_ = open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    return components(sure.union(checked(written(open_, "open"), rows, text, rid, width)))
+    open_ = written(open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "open")
+    held = sure.union(written(checked(open_, rows, text, rid, width), "held"))
+    tried = open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = written(open_pairs(listed, components(held)).join(tried, ["a", "b"], "left_anti"), "rest")
+    return components(held.union(checked(rest, rows, text, rid, width)))
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5) -> DataFrame:

@@ -97,3 +97,26 @@ def test_nulls_repeats_clashes_and_empty(spark):
     assert left.columns == df.columns
     assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == [(-1, ""), (1, "a b c d e f"), (3, "q r s t u v")]
     assert nc.one_of_each(df.where("false")).count() == 0
+
+
+def test_true_link_that_the_forest_displaces(spark, monkeypatch):
+    """Of three texts in one list the first is similar to the second only, but its estimate with the third is greater."""
+    rng = np.random.default_rng(6)
+
+    def trio(g):
+        core, new = [f"g{g}w{i}" for i in range(500)], [f"g{g}n{i}" for i in range(40)]
+        third = list(core)
+        for i in rng.integers(0, 434, 2):
+            third[int(i)] = "x"
+        return [(k, " ".join(t)) for k, t in enumerate((core[:434] + new, core[:434] + new[:2] + core[436:], third))]
+
+    def displaced(rows):
+        found = [nc.shingles(t, 5) for _, t in rows]
+        fp = np.array([np.frombuffer(nc.fingerprint(s), np.uint64) for s in found])
+        first, second = nc.similarity(fp[0], len(found[0]), fp[1:], np.array([len(s) for s in found[1:]]))
+        return len(set((fp[:, 0] & np.uint64(255)).tolist())) == 1 and second > first >= nc.SIMILAR - nc.MARGIN
+
+    monkeypatch.setattr(nc, "PAIRS", ((0, 0),))  # all that share the first byte are one list
+    rows = next(r for r in map(trio, range(5000)) if displaced(r))
+    assert plain(rows) == [0] and plain([rows[0], rows[2]]) == [0, 2]
+    assert [r.doc_id for r in nc.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
