@@ -30,14 +30,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import written
 
 SALTS = 8
 PARTNERS = 4096  # pairs that one copy of an earlier document serves
-HOLDERS = 1 << 16  # of a line that one task ranks
+HOLDERS = 512  # of a line that share a key where holders are ranked and tried
 GROWTH = 8  # of the number of holders tried, from round to round
 BLANK = 0  # the hash of a line without a word
 
@@ -150,6 +150,15 @@ def _gone(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_align, "rid long, gone array<int>, done array<long>")
 
 
+def _parts() -> Column:
+    """Into how many parts the holders of a line are dealt, from their number ``n``."""
+    return F.ceil(F.col("n") / HOLDERS).cast("int")
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("rid"), _parts()).cast("int")
+
+
 def gone_lines(docs: DataFrame) -> DataFrame:
     """(rid, gone): places of lines that earlier documents take, from rows (rid, place, lines, checks); ``place`` orders the documents.
 
@@ -168,16 +177,15 @@ def gone_lines(docs: DataFrame) -> DataFrame:
     while True:
         done = out[-1].select("rid", F.explode("done").alias("line"))
         open_ = open_.where(F.col("n") > tried + 1).join(done, ["rid", "line"], "left_anti")
-        # the holders of a line are ranked by parts first, so that none ranks all of a hot line's
-        part = F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / HOLDERS))
+        # a line's holders are dealt by parts of HOLDERS, and ranked by part before they are ranked together
         upto = tried * GROWTH
-        next_ = held.where(F.col("n") > tried).select("line", "rid", "place", part.alias("part"))
-        next_ = next_.join(open_.select("line").distinct(), "line", "left_semi")
+        wanted = open_.select("line", "n").distinct().select("line", F.explode(F.sequence(F.lit(0), _parts() - 1)).alias("part"))
+        next_ = held.where(F.col("n") > tried).withColumn("part", _part()).join(wanted, ["line", "part"], "left_semi")
         for by in (["line", "part"], ["line"]):
             next_ = next_.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("place"))).where(F.col("rank") <= upto)
-        next_ = next_.where(F.col("rank") > tried).select("line", F.col("rid").alias("earlier"), F.col("place").alias("before"))
-        next_ = next_.withColumn("salt", salts)
-        pairs = open_.withColumn("salt", salt).join(next_, ["line", "salt"]).where(F.col("before") < F.col("place"))
+        next_ = next_.where(F.col("rank") > tried).select("line", F.col("rid").alias("earlier"), F.col("place").alias("before"), "n")
+        next_ = next_.withColumn("part", F.explode(F.sequence(F.lit(0), _parts() - 1))).drop("n")
+        pairs = open_.withColumn("part", _part()).join(next_, ["line", "part"]).where(F.col("before") < F.col("place"))
         pairs = written(pairs.select("earlier", F.col("rid").alias("later"), "line", "place", "n"), "tries")
         if pairs.isEmpty():
             break
