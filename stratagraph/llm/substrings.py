@@ -3,27 +3,33 @@
 1. *Packs.*  Texts are packed, some megabytes a row, compressed, and written.
 2. *Runs.*  Each string of ``LENGTH`` bytes has a least hash among its ``GRAM``-byte
    pieces; neighbouring strings with the same least hash form a run.  Equal
-   strings have equal least hashes, so runs meet by that hash: one short entry
-   a run is exchanged.  A run that equals one of an earlier document is settled;
-   of the rest, only runs whose least hash has other runs, in another document,
-   need to be compared, and only their bytes are exchanged.
-3. *Intervals.*  For each bucket of such runs, suffixes are sorted by their first
-   bytes and common prefixes are derived on the Burrows-Wheeler order by
+   strings have equal least hashes, so runs meet by that hash.  Equal runs are a
+   class, told by 120 bits of hashes within a pack and 96 between packs; a pack
+   sends one short entry a class, with the smallest document that holds it there.
+   A class's first run stands for it: the others are settled, as an earlier
+   document holds them.  First runs are compared by their bytes if their least
+   hash has such runs in other documents.
+3. *Intervals.*  For each bucket of runs to compare, suffixes are sorted by their
+   first bytes and common prefixes are derived on the Burrows-Wheeler order by
    increasing value: an interval of the suffix array for a string w is split
    into those for cw by extending it backward by each byte c, breadth first,
    until w has ``LENGTH`` bytes.  What is left unsplit is one string; all its
    places in documents after its first are marked.
 4. *Removal.*  Marks go back to their packs, which cut the bytes out.
 
-Exchanged: packs twice (compressed), 12 bytes a run (about 0.7 x the text), and the bytes
-of runs to compare.  A least hash with over ``HOT`` entries sends its strings one
-by one, dealt by their own hash, so that a passage which a third of the
-documents share doesn't fill one task.  All tasks hold one pack or one bucket.
+Exchanged: packs twice (compressed), 12 bytes a class (about 0.7 x the text), and
+the bytes of runs to compare.  A least hash with ``LOCAL_HOT`` classes in one pack,
+or over ``HOT`` in all, sends its strings one by one instead, each once a pack,
+dealt by their own hash; a pack with that many sends a single entry for them.  So
+a passage which a third of the documents share, with other text around it in
+each, gives a bucket some entries a pack and never an entry a document.  Tasks
+hold one pack or one bucket; buckets are dealt evenly, and partitions grow in
+number with the text up to ``MAX_PARTS``, beyond which a task has more buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +46,13 @@ SPAN = LENGTH - GRAM + 1  # pieces in a string
 PACK_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20  # of text whose runs one bucket gets
+PART_BYTES = 16 << 20  # of text whose buckets one partition gets, up to
+MAX_PARTS = 20_000
 HOT = 20_000
+LOCAL_HOT = 16
 NEVER = np.iinfo(np.int64).max  # stands for a null doc_id: no id is larger
 SETTLED, COMPARE, COMPARE_EACH = 1, 2, 3
+MANY = 0  # the content hash of the one entry for a pack's many classes
 
 PACK = "docs binary, lengths binary, body binary, size long"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -130,23 +140,92 @@ class Runs:
         self.start = at[head]
         self.count = np.diff(np.append(head, len(at)))
         self.least = _mixed(low[head])
-        up, down = _tables(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * up[:n], out=sums[1:])
-        self.content = _mixed((sums[self.start + self.count - 1 + SPAN] - sums[self.start]) * down[self.start])
+        up, _ = _tables(n)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(h * up[:n], out=self.sums[1:])
+        self.content = self.hashes(self.start, self.count)
         self.doc = np.searchsorted(starts + lengths, self.start, side="right")
 
-
-def _blocks(docs: bytes, lengths: bytes, body: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
-    """(number of the first, ids, lengths, bytes) of stretches of whole documents of about BLOCK_BYTES."""
-    ids, sizes, raw = np.frombuffer(docs, np.int64), np.frombuffer(lengths, np.int64), zstandard.decompress(body)
-    ends = np.cumsum(sizes)
-    first = 0
-    while first < len(ids):
-        begin = int(ends[first] - sizes[first])
-        last = max(first + 1, int(np.searchsorted(ends, begin + BLOCK_BYTES, side="right")))
-        yield first, ids[first:last], sizes[first:last], raw[begin : int(ends[last - 1])]
-        first = last
+    def hashes(self, start: np.ndarray, count: np.ndarray | int) -> np.ndarray:
+        """A hash of the bytes of ``count`` strings from each start on."""
+        return _mixed((self.sums[start + count - 1 + SPAN] - self.sums[start]) * _tables(len(self.sums) - 1)[1][start])
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its count."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+class Pack:
+    """A pack's texts, their runs, and the classes of equal runs, in order of (least hash, content hash)."""
+
+    def __init__(self, docs: bytes, lengths: bytes, body: bytes):
+        self.ids, self.sizes, self.raw = np.frombuffer(docs, np.int64), np.frombuffer(lengths, np.int64), zstandard.decompress(body)
+        ends = np.cumsum(self.sizes)
+        self.starts = ends - self.sizes
+        self.blocks: list[tuple[int, Runs]] = []  # first byte
+        firsts, first = [], 0
+        while first < len(self.ids):
+            begin = int(self.starts[first])
+            last = max(first + 1, int(np.searchsorted(ends, begin + BLOCK_BYTES, side="right")))
+            self.blocks.append((begin, Runs(self.raw[begin : int(ends[last - 1])], self.sizes[first:last])))
+            firsts.append(first)
+            first = last
+        joined = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+        self.start = joined([r.start + at for at, r in self.blocks])
+        self.count = joined([r.count for _, r in self.blocks])
+        self.doc = joined([r.doc + k for k, (_, r) in zip(firsts, self.blocks, strict=True)])
+        self.block = np.repeat(np.arange(len(self.blocks)), [len(r.start) for _, r in self.blocks])
+        least, content = (np.concatenate([np.zeros(0, np.uint64), *[getattr(r, k) for _, r in self.blocks]]) for k in ("least", "content"))
+        order = np.lexsort((content, least))
+        least, content = least[order], content[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (least[1:] != least[:-1]) | (content[1:] != content[:-1])
+        heads = np.flatnonzero(new)
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.least, self.content = least[heads], content[heads]
+        id_ = self.ids[self.doc]
+        self.first = np.minimum.reduceat(id_[order], heads) if len(heads) else id_
+        self.leads = id_ == self.first[self.of]  # whether a run is of its class's first document
+        # classes become entries: one each, or one for all of a least hash that has many
+        new = np.ones(len(heads), bool)
+        new[1:] = self.least[1:] != self.least[:-1]
+        at = np.flatnonzero(new)
+        many = np.diff(np.append(at, len(heads))) >= LOCAL_HOT
+        group = np.cumsum(new) - 1
+        kept = new | ~many[group]
+        self.entry = np.cumsum(kept) - 1
+        self.entries = np.flatnonzero(kept)
+        self.many = many[group][self.entries]
+
+    def flags(self, verdicts: list | None, buckets: int) -> np.ndarray:
+        """What is to be done with each run."""
+        of_entry = np.zeros(len(self.entries), np.uint8)
+        by = {int(v["bucket"]): np.frombuffer(v["flags"], np.uint8) for v in verdicts or ()}
+        order, groups = _grouped(_bucket(self.least[self.entries], buckets))
+        for b, at, end in groups:
+            of_entry[order[at:end]] = by[b]
+        return np.where(self.leads, of_entry[self.entry][self.of], SETTLED) if len(self.of) else np.zeros(0, np.uint8)
+
+    def lone(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the strings that are compared each: their first bytes, their runs, their classes, and a hash of each; the first of a class leads.
+
+        Strings are in order of class and document.
+        """
+        run = np.flatnonzero(flags == COMPARE_EACH)
+        at, run = _spread(self.start[run], self.count[run]), np.repeat(run, self.count[run])
+        key = np.zeros(len(at), np.uint64)
+        for k in np.unique(self.block[run]):
+            here = self.block[run] == k
+            begin, runs = self.blocks[k]
+            key[here] = runs.hashes(at[here] - begin, 1)
+        least = self.least[self.of[run]]
+        order = np.lexsort((self.ids[self.doc[run]], least, key))
+        at, run, key, least = at[order], run[order], key[order], least[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (key[1:] != key[:-1]) | (least[1:] != least[:-1])
+        return at, run, np.cumsum(new) - 1, key
 
 
 def _bucket(least: np.ndarray, buckets: int) -> np.ndarray:
@@ -168,20 +247,19 @@ def _cells(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 
 
 def _entries(buckets: int):
-    """(pack, block, bucket, doc ids, entries of 12 bytes) for each pack, block and bucket with runs."""
+    """(pack, bucket, doc ids, entries of 12 bytes) for each pack and bucket with runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pack, docs, lengths, body in _cells(batch, "pack", "docs", "lengths", "body"):
-                cells: dict[int, list] = {}
-                for _, ids, sizes, raw in _blocks(docs, lengths, body):
-                    r = Runs(raw, sizes)
-                    order, groups = _grouped(_bucket(r.least, buckets))
-                    short = np.concatenate([r.least[order].view(np.uint8).reshape(-1, 8)[:, :5], r.content[order].view(np.uint8).reshape(-1, 8)[:, :7]], axis=1)
-                    doc = ids[r.doc[order]]
-                    for b, at, end in groups:
-                        cells.setdefault(b, []).append((doc[at:end], short[at:end]))
-                rows = [(pack, b, np.concatenate([x[0] for x in v]).tobytes(), np.concatenate([x[1] for x in v]).tobytes()) for b, v in cells.items()]
+            for number, docs, lengths, body in _cells(batch, "pack", "docs", "lengths", "body"):
+                pack = Pack(docs, lengths, body)
+                least = pack.least[pack.entries]
+                content = pack.content[pack.entries] & np.uint64((1 << 56) - 1)
+                content = np.where(pack.many, np.uint64(MANY), np.maximum(content, np.uint64(MANY + 1)))
+                order, groups = _grouped(_bucket(least, buckets))
+                short = np.concatenate([least[order].view(np.uint8).reshape(-1, 8)[:, :5], content[order].view(np.uint8).reshape(-1, 8)[:, :7]], axis=1)
+                doc = pack.first[pack.entries][order]
+                rows = [(number, b, doc[at:end].tobytes(), short[at:end].tobytes()) for b, at, end in groups]
                 if rows:
                     yield _batch(rows, ("pack", pa.int64()), ("bucket", pa.int64()), ("docs", pa.binary()), ("entries", pa.binary()))
 
@@ -193,7 +271,7 @@ def _batch(rows: list[tuple], *fields: tuple[str, pa.DataType]) -> pa.RecordBatc
 
 
 def _judge(table: pa.Table, hot: int) -> pa.Table:
-    """For one bucket's entries, what is to be done with each run: (pack, bucket, a byte a run)."""
+    """For one bucket's entries, what is to be done with the first runs of each: (pack, bucket, a byte an entry)."""
     docs = [np.frombuffer(x.as_py(), np.int64) for x in table["docs"]]
     short = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 12) for x in table["entries"]]
     sizes = np.array([len(d) for d in docs])
@@ -208,62 +286,44 @@ def _judge(table: pa.Table, hot: int) -> pa.Table:
     new = new_least.copy()
     new[1:] |= content[1:] != content[:-1]
     first = doc[np.maximum.accumulate(np.where(new, n, 0))]
-    settled = doc > first
+    several = content == MANY
+    settled = (doc > first) & ~several
     group, heads = np.cumsum(new_least) - 1, np.flatnonzero(new_least)
     lowest, highest = np.minimum.reduceat(first, heads), np.maximum.reduceat(first, heads)
-    todo = ~settled & (lowest < highest)[group]
-    many = np.bincount(group, todo, len(heads))[group] > hot
+    crowded = np.bincount(group, several, len(heads)) > 0
+    todo = ~settled & ((lowest < highest) | crowded)[group]
+    crowded |= np.bincount(group, todo, len(heads)) > hot
     out = np.zeros(len(doc), np.uint8)
-    out[order] = np.where(settled, SETTLED, np.where(todo, np.where(many, COMPARE_EACH, COMPARE), 0))
+    out[order] = np.where(settled, SETTLED, np.where(todo, np.where(crowded[group], COMPARE_EACH, COMPARE), 0))
     parts = np.split(out, np.cumsum(sizes)[:-1])
     return pa.table({"pack": table["pack"], "bucket": table["bucket"], "flags": pa.array([p.tobytes() for p in parts], pa.binary())})
 
 
-def _flagged(docs: bytes, lengths: bytes, body: bytes, verdicts: list, buckets: int) -> Iterator[tuple]:
-    """(number of the first document, ids, lengths, bytes, runs, flags) of each block, from the pack's verdicts."""
-    by = {int(v["bucket"]): np.frombuffer(v["flags"], np.uint8) for v in verdicts or ()}
-    used = dict.fromkeys(by, 0)
-    for first, ids, sizes, raw in _blocks(docs, lengths, body):
-        r = Runs(raw, sizes)
-        order, groups = _grouped(_bucket(r.least, buckets))
-        flags = np.zeros(len(order), np.uint8)
-        for b, at, end in groups:
-            flags[order[at:end]] = by[b][used[b] : used[b] + end - at]
-            used[b] += end - at
-        yield first, ids, sizes, raw, r, flags
-
-
 def _contents(buckets: int):
     """(pack, bucket, columns of the runs to compare, their bytes) from packs with verdicts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pack, docs, lengths, body, verdicts in _cells(batch, "pack", "docs", "lengths", "body", "verdicts"):
-                cells: dict[int, list] = {}
-                for first, ids, sizes, raw, r, flags in _flagged(docs, lengths, body, verdicts, buckets):
-                    starts = np.cumsum(sizes) - sizes
-                    whole, each = np.flatnonzero(flags == COMPARE), np.flatnonzero(flags == COMPARE_EACH)
-                    lone = np.repeat(r.start[each], r.count[each]) + (np.arange(r.count[each].sum()) - np.repeat(np.cumsum(r.count[each]) - r.count[each], r.count[each]))
-                    at = np.concatenate([r.start[whole], lone])
-                    count = np.concatenate([r.count[whole], np.ones(len(lone), np.int64)])
-                    doc = np.concatenate([r.doc[whole], np.repeat(r.doc[each], r.count[each])])
-                    pieces = [raw[a : a + c + LENGTH - 1] for a, c in zip(at.tolist(), count.tolist(), strict=True)]
-                    to = _bucket(r.least[whole], buckets).tolist() + [hash_of(x) % buckets for x in pieces[len(whole) :]]
-                    for b, x, row in zip(to, pieces, np.column_stack([ids[doc], doc + first, at - starts[doc], count]), strict=True):
-                        cells.setdefault(b, []).append((row, x))
-                rows = [(pack, b, np.stack([x[0] for x in v]).tobytes(), b"".join(x[1] for x in v)) for b, v in cells.items()]
+            for number, docs, lengths, body, verdicts in _cells(batch, "pack", "docs", "lengths", "body", "verdicts"):
+                pack = Pack(docs, lengths, body)
+                flags = pack.flags(verdicts, buckets)
+                whole = np.flatnonzero(flags == COMPARE)
+                at, of, string, key = pack.lone(flags)
+                leads = np.flatnonzero(np.append(True, string[1:] != string[:-1])) if len(string) else np.zeros(0, np.int64)
+                at = np.concatenate([pack.start[whole], at[leads]])
+                doc = pack.doc[np.concatenate([whole, of[leads]])]
+                count = np.concatenate([pack.count[whole], np.ones(len(leads), np.int64)])
+                to = np.concatenate([_bucket(pack.least[pack.of[whole]], buckets), _bucket(key[leads], buckets)])
+                row = np.column_stack([pack.ids[doc], doc, at - pack.starts[doc], count])
+                order, groups = _grouped(to)
+                pieces = [pack.raw[x : x + c + LENGTH - 1] for x, c in zip(at[order].tolist(), count[order].tolist(), strict=True)]
+                rows = [(number, b, row[order[i:j]].tobytes(), b"".join(pieces[i:j])) for b, i, j in groups]
                 if rows:
                     yield _batch(rows, ("pack", pa.int64()), ("bucket", pa.int64()), ("runs", pa.binary()), ("bytes", pa.binary()))
 
     return run
 
 
-def hash_of(x: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(x)
-
-
 def string_classes(body: bytes, length: int) -> np.ndarray:
     """For each place of ``body``, the number of the string of ``length`` bytes there; equal strings, equal numbers.
 
@@ -332,33 +392,35 @@ def _removed(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for docs, lengths, body, verdicts, marks in _cells(batch, "docs", "lengths", "body", "verdicts", "marks"):
+                pack = Pack(docs, lengths, body)
+                flags = pack.flags(verdicts, buckets)
                 marked = np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 3) for m in marks or ()] or [np.zeros((0, 3), np.int64)])
-                marked = marked[np.argsort(marked[:, 0], kind="stable")]
-                for first, ids, sizes, raw, r, flags in _flagged(docs, lengths, body, verdicts, buckets):
-                    starts = np.cumsum(sizes) - sizes
-                    mine = marked[np.searchsorted(marked[:, 0], first) : np.searchsorted(marked[:, 0], first + len(ids))]
-                    base = starts[mine[:, 0] - first]
-                    done = flags == SETTLED
-                    edge = np.zeros(len(raw) + 1, np.int64)
-                    np.add.at(edge, np.concatenate([r.start[done], base + mine[:, 1]]), 1)
-                    np.add.at(edge, np.concatenate([r.start[done] + r.count[done] + LENGTH - 1, base + mine[:, 2]]), -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    begins = gone.copy()
-                    begins[1:] &= ~gone[:-1]
-                    full = starts[sizes > 0]
-                    begins[full] = gone[full]
-                    per = lambda x, full=full, sizes=sizes: _per_doc(x, full, sizes)
-                    removed, spans = per(gone), per(begins)
-                    stay = sizes - removed
-                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    ends = np.cumsum(stay)
-                    yield _batch(
-                        [
-                            (None if i == NEVER else i, s, g, k, kept[e - w : e])
-                            for i, s, g, k, e, w in zip(ids.tolist(), sizes.tolist(), removed.tolist(), spans.tolist(), ends.tolist(), stay.tolist(), strict=True)
-                        ],
-                        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()),
-                    )
+                begin, end = pack.starts[marked[:, 0]] + marked[:, 1], pack.starts[marked[:, 0]] + marked[:, 2]
+                done = flags == SETTLED
+                at, of, string, _ = pack.lone(flags)
+                leads = np.flatnonzero(np.append(True, string[1:] != string[:-1])) if len(string) else np.zeros(0, np.int64)
+                id_ = pack.ids[pack.doc[of]]
+                lone = at[np.isin(at[leads], begin)[string] | (id_ > id_[leads][string])]
+                n = len(pack.raw)
+                places = lambda *parts, n=n: np.bincount(np.concatenate(parts), minlength=n + 1).astype(np.int32)
+                edge = places(pack.start[done], begin, lone)
+                edge -= places(pack.start[done] + pack.count[done] + LENGTH - 1, end, lone + LENGTH)
+                gone = np.cumsum(edge[:-1]) > 0
+                begins = gone.copy()
+                begins[1:] &= ~gone[:-1]
+                full = pack.starts[pack.sizes > 0]
+                begins[full] = gone[full]
+                removed, spans = _per_doc(gone, full, pack.sizes), _per_doc(begins, full, pack.sizes)
+                stay = pack.sizes - removed
+                kept = np.frombuffer(pack.raw, np.uint8)[~gone].tobytes()
+                ends = np.cumsum(stay)
+                yield _batch(
+                    [
+                        (None if i == NEVER else i, s, g, k, kept[e - w : e])
+                        for i, s, g, k, e, w in zip(pack.ids.tolist(), pack.sizes.tolist(), removed.tolist(), spans.tolist(), ends.tolist(), stay.tolist(), strict=True)
+                    ],
+                    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()),
+                )
 
     return run
 
@@ -370,6 +432,27 @@ def _per_doc(x: np.ndarray, full: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _each_bucket(rows: DataFrame, parts: int, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``f`` of all rows of each bucket; partitions have equally many buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            bucket = batch.column(batch.schema.get_field_index("bucket")).to_numpy()
+            heads = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            for at, end in zip([0, *heads.tolist()], [*heads.tolist(), len(bucket)], strict=True):
+                if held and end > at and held[-1].column(held[-1].schema.get_field_index("bucket"))[0].as_py() != bucket[at]:
+                    yield from f(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                if end > at:
+                    held.append(batch.slice(at, end - at))
+        if held:
+            yield from f(pa.Table.from_batches(held)).to_batches()
+
+    dealt = rows.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
+    return dealt.sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """OUT for each row of ``df``: what is kept of the text's bytes, and counts.
 
@@ -377,19 +460,20 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     document with a smaller id, judged on the texts as given.  Null texts are
     empty; a null id counts as larger than all others, and rows with equal ids
     (repeated rows, null ids) take nothing from each other.  Other columns are
-    not read.  No rows give an empty result.
+    not read, whatever their names.  No rows give an empty result.
     """
     spark = df.sparkSession
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     packs = written(rows.mapInArrow(_packed, PACK).withColumn("pack", F.monotonically_increasing_id()), "packs")
     size = packs.agg(F.sum("size")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    parts = min(MAX_PARTS, max(2 * spark.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
+    buckets = parts * max(1, -(-size // (parts * BUCKET_BYTES)))
     entries = packs.mapInArrow(_entries(buckets), "pack long, bucket long, docs binary, entries binary")
-    judged = entries.groupBy("bucket").applyInArrow(lambda t: _judge(t, hot), "pack long, bucket long, flags binary")
+    judged = _each_bucket(entries, parts, lambda t: _judge(t, hot), "pack long, bucket long, flags binary")
     verdicts = judged.groupBy("pack").agg(F.collect_list(F.struct("bucket", "flags")).alias("verdicts"))
     with_verdicts = packs.join(written(verdicts, "verdicts"), "pack", "left")
     contents = with_verdicts.mapInArrow(_contents(buckets), "pack long, bucket long, runs binary, bytes binary")
-    compared = contents.groupBy("bucket").applyInArrow(_compared, "pack long, marks binary")
+    compared = _each_bucket(contents, parts, _compared, "pack long, marks binary")
     marks = compared.groupBy("pack").agg(F.collect_list("marks").alias("marks"))
     return with_verdicts.join(written(marks, "marks"), "pack", "left").mapInArrow(_removed(buckets), OUT)
 

@@ -35,13 +35,12 @@ def test_passages():
 
 def test_substrings_of_one_document_and_its_later_copy():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([LONG, "x" + LONG], pa.string())], names=["a", "b"])
-    packs = [[c[0].as_py() for c in p.columns[:3]] for p in substrings._packed(iter([batch]))]
-    blocks = [b for p in packs for b in substrings._blocks(*p)]
-    assert [len(b[1]) for b in blocks] == [1, 1]
-    runs = [substrings.Runs(b[3], b[2]) for b in blocks]
-    assert sum(runs[0].count) == len(LONG) - 49
-    first, second = ({*zip(r.least.tolist(), r.content.tolist(), strict=True)} for r in runs)
-    assert len(first ^ second) <= 4  # but for the strings with the new first byte
+    packs = [substrings.Pack(*(c[0].as_py() for c in p.columns[:3])) for p in substrings._packed(iter([batch]))]
+    (pack,) = packs
+    assert len(pack.blocks) == 2
+    later = pack.doc == 1
+    assert sum(pack.count[~later]) == len(LONG) - 49
+    assert sum(pack.leads[later]) <= 4  # but for the strings with the new first byte
 
 
 def test_alignment_of_many_lines():

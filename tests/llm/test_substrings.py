@@ -46,12 +46,39 @@ def made(seed, n):
 
 
 @pytest.mark.parametrize("hot", [20_000, 0])
-def test_made_texts_against_brute_force(spark, hot):
+@pytest.mark.parametrize("local_hot", [16, 2, 1])
+def test_made_texts_against_brute_force(spark, monkeypatch, hot, local_hot):
+    monkeypatch.setattr(substrings, "LOCAL_HOT", local_hot)
+    monkeypatch.setattr(substrings, "PACK_BYTES", 6000)
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 1500)
     rows = made(1, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert got(substrings.without_repeats(df, hot=hot)) == plain(rows)
 
 
+def test_passage_in_most_documents_with_other_text_around_it(spark, monkeypatch):
+    """Each document cuts the passage's runs differently, so that they are compared string by string."""
+    rng = np.random.default_rng(4)
+    passage = " ".join(rng.choice(["river", "stone", "cloud", "lamp", "seven", "quiet"], 40))
+    rows = [(int(i), f"{rng.integers(10**9)}{passage[int(rng.integers(0, 9)):]}{rng.integers(10**9)}" * int(rng.integers(1, 3))) for i in rng.permutation(150)]
+    monkeypatch.setattr(substrings, "PACK_BYTES", 4000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(substrings.without_repeats(df)) == plain(rows)
+
+
+def test_an_entry_a_pack_for_the_many_classes_of_one_hash():
+    rng = np.random.default_rng(4)
+    passage = " ".join(rng.choice(["river", "stone", "cloud", "lamp", "seven", "quiet"], 40))
+    import pyarrow as pa
+
+    texts = [f"{rng.integers(10**9)}{passage}{rng.integers(10**9)}" for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts, pa.string())], names=["a", "b"])
+    (packed,) = substrings._packed(iter([batch]))
+    pack = substrings.Pack(*(packed.column(k)[0].as_py() for k in range(3)))
+    assert np.unique(pack.least[pack.entries], return_counts=True)[1].max() < substrings.LOCAL_HOT
+    assert np.unique(pack.least, return_counts=True)[1].max() > 150
+
+
 def test_documents_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
@@ -78,11 +105,21 @@ def test_classes_are_equal_strings():
 def test_blocks_cut_between_documents(monkeypatch):
     import pyarrow as pa
 
-    monkeypatch.setattr(substrings, "BLOCK_BYTES", 500)
     rows = [r for r in made(2, 20) if r[0] is not None]
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["a", "b"])
-    (pack,) = substrings._packed(iter([batch]))
-    blocks = list(substrings._blocks(*(pack.column(k)[0].as_py() for k in range(3))))
-    assert len(blocks) > 3
-    assert b"".join(b[3] for b in blocks) == b"".join((r[1] or "").encode() for r in rows)
-    assert [int(i) for b in blocks for i in b[1]] == [r[0] for r in rows]
+    (packed,) = substrings._packed(iter([batch]))
+    packs = []
+    for size in (500, 1 << 20):
+        monkeypatch.setattr(substrings, "BLOCK_BYTES", size)
+        packs.append(substrings.Pack(*(packed.column(k)[0].as_py() for k in range(3))))
+    a, b = packs
+    assert len(a.blocks) > 3 and len(b.blocks) == 1
+    assert a.raw == b"".join((r[1] or "").encode() for r in rows) and a.ids.tolist() == [r[0] for r in rows]
+    for name in ("start", "count", "doc", "of", "least", "content", "first", "leads"):
+        assert getattr(a, name).tolist() == getattr(b, name).tolist()
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a" * 60, 1), (2, "a" * 60, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pack int")
+    assert got(substrings.without_repeats(df)) == plain([r[:2] for r in rows])
