@@ -18,8 +18,8 @@
 4. *Removal.*  Marks go back to their packs, which cut the bytes out.
 
 Exchanged: packs twice (compressed), 12 bytes a class (about 0.7 x the text), and
-the bytes of runs to compare.  A least hash with ``LOCAL_HOT`` classes in one pack,
-or over ``HOT`` in all, sends its strings one by one instead, each once a pack,
+the bytes of runs to compare.  A least hash with many classes in one pack
+(``LOCAL_HOT``), or over ``HOT`` to compare in all, sends its strings one by one instead, each once a pack,
 dealt by their own hash; a pack with that many sends a single entry for them.  So
 a passage which a third of the documents share, with other text around it in
 each, gives a bucket some entries a pack and never an entry a document.  Tasks
@@ -49,7 +49,8 @@ BUCKET_BYTES = 8 << 20  # of text whose runs one bucket gets
 PART_BYTES = 16 << 20  # of text whose buckets one partition gets, up to
 MAX_PARTS = 20_000
 HOT = 20_000
-LOCAL_HOT = 16
+LOCAL_HOT = 8, 256  # least and greatest number of classes of one least hash for which a pack sends a single entry,
+HOT_ENTRIES = 4_000_000  # in between as many as keep all packs' entries for one least hash under this
 NEVER = np.iinfo(np.int64).max  # stands for a null doc_id: no id is larger
 SETTLED, COMPARE, COMPARE_EACH = 1, 2, 3
 MANY = 0  # the content hash of the one entry for a pack's many classes
@@ -159,7 +160,7 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 class Pack:
     """A pack's texts, their runs, and the classes of equal runs, in order of (least hash, content hash)."""
 
-    def __init__(self, docs: bytes, lengths: bytes, body: bytes):
+    def __init__(self, docs: bytes, lengths: bytes, body: bytes, local_hot: int):
         self.ids, self.sizes, self.raw = np.frombuffer(docs, np.int64), np.frombuffer(lengths, np.int64), zstandard.decompress(body)
         ends = np.cumsum(self.sizes)
         self.starts = ends - self.sizes
@@ -192,7 +193,7 @@ class Pack:
         new = np.ones(len(heads), bool)
         new[1:] = self.least[1:] != self.least[:-1]
         at = np.flatnonzero(new)
-        many = np.diff(np.append(at, len(heads))) >= LOCAL_HOT
+        many = np.diff(np.append(at, len(heads))) >= local_hot
         group = np.cumsum(new) - 1
         kept = new | ~many[group]
         self.entry = np.cumsum(kept) - 1
@@ -246,13 +247,13 @@ def _cells(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
         yield tuple(c[i].as_py() for c in columns)
 
 
-def _entries(buckets: int):
+def _entries(buckets: int, local_hot: int):
     """(pack, bucket, doc ids, entries of 12 bytes) for each pack and bucket with runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, docs, lengths, body in _cells(batch, "pack", "docs", "lengths", "body"):
-                pack = Pack(docs, lengths, body)
+                pack = Pack(docs, lengths, body, local_hot)
                 least = pack.least[pack.entries]
                 content = pack.content[pack.entries] & np.uint64((1 << 56) - 1)
                 content = np.where(pack.many, np.uint64(MANY), np.maximum(content, np.uint64(MANY + 1)))
@@ -299,13 +300,13 @@ def _judge(table: pa.Table, hot: int) -> pa.Table:
     return pa.table({"pack": table["pack"], "bucket": table["bucket"], "flags": pa.array([p.tobytes() for p in parts], pa.binary())})
 
 
-def _contents(buckets: int):
+def _contents(buckets: int, local_hot: int):
     """(pack, bucket, columns of the runs to compare, their bytes) from packs with verdicts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, docs, lengths, body, verdicts in _cells(batch, "pack", "docs", "lengths", "body", "verdicts"):
-                pack = Pack(docs, lengths, body)
+                pack = Pack(docs, lengths, body, local_hot)
                 flags = pack.flags(verdicts, buckets)
                 whole = np.flatnonzero(flags == COMPARE)
                 at, of, string, key = pack.lone(flags)
@@ -386,13 +387,13 @@ def _compared(table: pa.Table) -> pa.Table:
     return pa.table({"pack": pa.array([p for p, _ in by], pa.int64()), "marks": pa.array([m for _, m in by], pa.binary())})
 
 
-def _removed(buckets: int):
+def _removed(buckets: int, local_hot: int):
     """OUT rows from packs with verdicts and marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for docs, lengths, body, verdicts, marks in _cells(batch, "docs", "lengths", "body", "verdicts", "marks"):
-                pack = Pack(docs, lengths, body)
+                pack = Pack(docs, lengths, body, local_hot)
                 flags = pack.flags(verdicts, buckets)
                 marked = np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 3) for m in marks or ()] or [np.zeros((0, 3), np.int64)])
                 begin, end = pack.starts[marked[:, 0]] + marked[:, 1], pack.starts[marked[:, 0]] + marked[:, 2]
@@ -465,17 +466,18 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     spark = df.sparkSession
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     packs = written(rows.mapInArrow(_packed, PACK).withColumn("pack", F.monotonically_increasing_id()), "packs")
-    size = packs.agg(F.sum("size")).first()[0] or 0
+    size, n = packs.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    local_hot = min(LOCAL_HOT[1], max(LOCAL_HOT[0], HOT_ENTRIES // max(n, 1)))
     parts = min(MAX_PARTS, max(2 * spark.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
     buckets = parts * max(1, -(-size // (parts * BUCKET_BYTES)))
-    entries = packs.mapInArrow(_entries(buckets), "pack long, bucket long, docs binary, entries binary")
+    entries = packs.mapInArrow(_entries(buckets, local_hot), "pack long, bucket long, docs binary, entries binary")
     judged = _each_bucket(entries, parts, lambda t: _judge(t, hot), "pack long, bucket long, flags binary")
     verdicts = judged.groupBy("pack").agg(F.collect_list(F.struct("bucket", "flags")).alias("verdicts"))
     with_verdicts = packs.join(written(verdicts, "verdicts"), "pack", "left")
-    contents = with_verdicts.mapInArrow(_contents(buckets), "pack long, bucket long, runs binary, bytes binary")
+    contents = with_verdicts.mapInArrow(_contents(buckets, local_hot), "pack long, bucket long, runs binary, bytes binary")
     compared = _each_bucket(contents, parts, _compared, "pack long, marks binary")
     marks = compared.groupBy("pack").agg(F.collect_list("marks").alias("marks"))
-    return with_verdicts.join(written(marks, "marks"), "pack", "left").mapInArrow(_removed(buckets), OUT)
+    return with_verdicts.join(written(marks, "marks"), "pack", "left").mapInArrow(_removed(buckets, local_hot), OUT)
 
 
 def op9_bwt_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def test_passages():
 
 def test_substrings_of_one_document_and_its_later_copy():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([LONG, "x" + LONG], pa.string())], names=["a", "b"])
-    packs = [substrings.Pack(*(c[0].as_py() for c in p.columns[:3])) for p in substrings._packed(iter([batch]))]
+    packs = [substrings.Pack(*(c[0].as_py() for c in p.columns[:3]), 16) for p in substrings._packed(iter([batch]))]
     (pack,) = packs
     assert len(pack.blocks) == 2
     later = pack.doc == 1

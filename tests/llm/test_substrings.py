@@ -48,7 +48,7 @@ def made(seed, n):
 @pytest.mark.parametrize("hot", [20_000, 0])
 @pytest.mark.parametrize("local_hot", [16, 2, 1])
 def test_made_texts_against_brute_force(spark, monkeypatch, hot, local_hot):
-    monkeypatch.setattr(substrings, "LOCAL_HOT", local_hot)
+    monkeypatch.setattr(substrings, "LOCAL_HOT", (local_hot, local_hot))
     monkeypatch.setattr(substrings, "PACK_BYTES", 6000)
     monkeypatch.setattr(substrings, "BLOCK_BYTES", 1500)
     rows = made(1, 60)
@@ -62,6 +62,7 @@ def test_passage_in_most_documents_with_other_text_around_it(spark, monkeypatch)
     passage = " ".join(rng.choice(["river", "stone", "cloud", "lamp", "seven", "quiet"], 40))
     rows = [(int(i), f"{rng.integers(10**9)}{passage[int(rng.integers(0, 9)):]}{rng.integers(10**9)}" * int(rng.integers(1, 3))) for i in rng.permutation(150)]
     monkeypatch.setattr(substrings, "PACK_BYTES", 4000)
+    monkeypatch.setattr(substrings, "LOCAL_HOT", (8, 8))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert got(substrings.without_repeats(df)) == plain(rows)
 
@@ -74,8 +75,8 @@ def test_an_entry_a_pack_for_the_many_classes_of_one_hash():
     texts = [f"{rng.integers(10**9)}{passage}{rng.integers(10**9)}" for _ in range(200)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts, pa.string())], names=["a", "b"])
     (packed,) = substrings._packed(iter([batch]))
-    pack = substrings.Pack(*(packed.column(k)[0].as_py() for k in range(3)))
-    assert np.unique(pack.least[pack.entries], return_counts=True)[1].max() < substrings.LOCAL_HOT
+    pack = substrings.Pack(*(packed.column(k)[0].as_py() for k in range(3)), 16)
+    assert np.unique(pack.least[pack.entries], return_counts=True)[1].max() < 16
     assert np.unique(pack.least, return_counts=True)[1].max() > 150
 
 
@@ -111,7 +112,7 @@ def test_blocks_cut_between_documents(monkeypatch):
     packs = []
     for size in (500, 1 << 20):
         monkeypatch.setattr(substrings, "BLOCK_BYTES", size)
-        packs.append(substrings.Pack(*(packed.column(k)[0].as_py() for k in range(3))))
+        packs.append(substrings.Pack(*(packed.column(k)[0].as_py() for k in range(3)), 16))
     a, b = packs
     assert len(a.blocks) > 3 and len(b.blocks) == 1
     assert a.raw == b"".join((r[1] or "").encode() for r in rows) and a.ids.tolist() == [r[0] for r in rows]
