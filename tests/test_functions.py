@@ -7,14 +7,14 @@ CASES = [
     (C.normal_path, r".\src\a.py", "src/a.py"), (C.normal_path, ".env", "env"), (C.normal_path, "../a", "a"), (C.normal_path, None, None),
     (C.path_shape, "/a/:id/<int:x>/{y}/7/b/", "/a/{}/{}/{}/{}/b"), (C.path_shape, "/", "/"),
     (C.package_name, " My_Pkg..Name-x ", "my-pkg-name-x"), (C.dimension_package_name, "My_Pkg.x", "my-pkg.x"),
-    (C.tokens, "getHTTPServer_name2", ["get", "httpserver", "name2"]), (C.slug, " A  b/C! ", "a-b-c"),
+    (C.tokens, "getHTTPServer_name2", ["get", "httpserver", "name2"]), (C.slug, " A  b/C! ", "a_b_c"),
     (C.host, "https://u:p@Host.COM:80/x", "host.com"), (C.url_path, "http://h/a/b?q#f", "/a/b"), (C.url_path, "http://h", "/"),
-    (C.git_identity, "git@GitHub.com:Own/Name.git", "github.com/own/name"), (C.git_identity, "git+https://www.x.org/o/n.git#main", "x.org/o/n"),
-    (C.git_identity, "ssh://git@h:22/o/n", "h/o/n"),
+    (C.git_identity, "git@GitHub.com:Own/Name.git", "github.com/Own/Name"), (C.git_identity, "git+https://www.x.org/o/n.git#main", "x.org/o/n"),
+    (C.git_identity, "ssh://git@h:22/o/n", "h/o/n"), (C.git_identity, "plain", None),
     (C.is_queue_name, "jobs.fifo", True), (C.is_queue_name, "a b", False), (C.is_domain, "*.A-b.example.com", True), (C.is_domain, "-a.com", False),
     (C.is_ipv4, "1.2.3.255", True), (C.is_ipv4, "1.2.3.256", False), (C.urn_part, "a b/c", "a%20b%2Fc"), (C.status, "", "canonical"),
     (C.status, None, "canonical"), (C.is_test_path, "src/tests/x.py", True), (C.is_test_path, "a/b.spec.ts", True), (C.is_test_path, "contest/a.py", False),
-    (C.environment_rank, "deploy/Prod-eu.yaml", 0), (C.environment_rank, "a/stageOne", 2), (C.environment_rank, "x", 1), (C.environment_rank, None, 4),
+    (C.path_environment_rank, "deploy/eu-Prod/x.yaml", 0), (C.domain_environment_rank, "stage-one.x", 2), (C.path_environment_rank, "x", 1), (C.path_environment_rank, None, 4),
     (C.unversioned, "/v1/Users/{}/posts", ["users", "posts"]),
 ]
 
