@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +76,55 @@ def resolved_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.select("caller", "name", callee.alias("callee"), rule.alias("rule"))
 
 
+def _qualified(symbol: Column) -> Column:
+    """``module:qualname`` as one dotted name."""
+    return F.replace(symbol, F.lit(":"), F.lit("."))
+
+
+def typed_calls(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Calls on what a body constructs: (caller, line, callee, rule).
+
+    ``calls`` (caller ``module:scope``, made, method or null, line): the class as it is written there; ``imports``
+    (module, target, name or null, alias); ``symbols`` (symbol, symbol_kind).  A plain name is a class that is imported,
+    else one of the module; a dotted one a class's whole name, else one below an imported module.  A method must be
+    the class's own; a constructor's callee is the class.
+    """
+    classes = symbols.where("symbol_kind = 'class'").select(F.col("symbol").alias("class_"), _qualified(F.col("symbol")).alias("full")).distinct()
+    modules = symbols.select(F.substring_index("symbol", ":", 1).alias("full")).distinct()
+    rows = calls.select("caller", "made", "method", "line").distinct().withColumn("module", F.substring_index("caller", ":", 1))
+    rows = rows.withColumn("head", F.substring_index("made", ".", 1)).withColumn("rest", F.when(F.contains("made", F.lit(".")), F.regexp_replace("made", r"^[^.]*\.", "")))
+    bound = imports.select("module", F.col("alias").alias("head"), absolute(F.col("module"), F.col("target")).alias("from"), F.nullif("name", F.lit("")).alias("name")).distinct()
+    bound = bound.withColumn("means", F.concat_ws(".", "from", "name"))
+    is_module = bound.join(modules.withColumnRenamed("full", "means"), "means", "left_semi").union(bound.where("name IS NULL").select(*["means", *[c for c in bound.columns if c != "means"]])).distinct()
+    plain, deep = rows.where("rest IS NULL"), rows.where("rest IS NOT NULL")
+    key = ["caller", "made", "method", "line"]
+    tries = [
+        (0, plain.join(bound.where("name IS NOT NULL").select("module", "head", "means"), ["module", "head"]).select(*key, F.col("means").alias("full"))),
+        (0, deep.select(*key, F.col("made").alias("full"))),
+        (1, deep.join(is_module.select("module", "head", "means"), ["module", "head"]).select(*key, F.concat_ws(".", "means", "rest").alias("full"))),
+    ]
+    tried = reduce(DataFrame.union, [t.withColumn("place", F.lit(n)) for n, t in tries]).join(classes, "full").drop("full")
+    own = classes.select(F.substring_index("class_", ":", 1).alias("module"), F.regexp_extract("class_", r"([^.:]+)$", 1).alias("head"), "class_")
+    own = plain.join(own, ["module", "head"]).select(*key, F.lit(1).alias("place"), "class_")
+    best = tried.select(*key, "place", "class_").union(own).groupBy(*key).agg(F.min(F.struct("place", "class_")).alias("best"))
+    best = best.select(*key, F.col("best.class_").alias("class_"))
+    constructed = best.where("method IS NULL").select("caller", "line", F.col("class_").alias("callee"), F.lit("constructor").alias("rule"))
+    methods = symbols.where("symbol_kind = 'method'").select(F.col("symbol").alias("callee")).distinct()
+    called = best.where("method IS NOT NULL").select("caller", "line", F.concat_ws(".", "class_", "method").alias("callee")).join(methods, "callee", "left_semi")
+    return called.select("caller", "line", "callee", F.lit("receiver").alias("rule")).union(constructed).distinct()
+
+
+def named_symbols(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``rows`` with ``symbol``: that which column ``named`` means, by its whole name, by ``app.Name``, or by a name that one symbol alone has."""
+    known = symbols.select("symbol").distinct().withColumn("full", _qualified(F.col("symbol")))
+    short = F.regexp_extract("full", r"([^.]+)$", 1)
+    app = F.regexp_extract("full", r"([^.]+)\.models(?:\.[^.]+)*$", 1)
+    by_short = known.groupBy(short.alias("named")).agg(F.count("*").alias("n"), F.min("symbol").alias("by_short")).where("n = 1").drop("n")
+    by_label = known.where(app != "").groupBy(F.concat_ws(".", app, short).alias("named")).agg(F.count("*").alias("n"), F.min("symbol").alias("by_label")).where("n = 1").drop("n")
+    out = rows.join(known.select(F.col("full").alias("named"), F.col("symbol").alias("by_full")), "named", "left").join(by_label, "named", "left").join(by_short, "named", "left")
+    return out.withColumn("symbol", F.coalesce("by_full", "by_label", "by_short")).drop("by_full", "by_label", "by_short")
+
+
 def linked_packages(dependencies: DataFrame, providers: DataFrame) -> DataFrame:
     """(package, consumers, providers, provider, bucket): packages against repositories that provide them.
 

@@ -309,23 +309,130 @@ def http_client(path: str, text: str) -> Iterator[Row]:
                 yield "Endpoint", f"{method.upper()} {url}", "CALLS_ENDPOINT", path, call.lineno
 
 
-#: Queue and topic calls, the argument that names the channel, and the direction.
+# Calls of the cloud's clients and resources by service, factory and method: the argument that names the channel, and the direction.
 TRANSPORT = {
-    "send_message": ("QueueUrl", "PRODUCES_EVENT"), "send_message_batch": ("QueueUrl", "PRODUCES_EVENT"), "receive_message": ("QueueUrl", "CONSUMES_EVENT"),
-    "delete_message": ("QueueUrl", "CONSUMES_EVENT"), "publish": ("TopicArn", "PRODUCES_EVENT"), "publish_batch": ("TopicArn", "PRODUCES_EVENT"),
-}
+    ("sqs", "client", "send_message"): ("QueueUrl", "PRODUCES_EVENT"),
+    ("sqs", "client", "send_message_batch"): ("QueueUrl", "PRODUCES_EVENT"),
+    ("sqs", "client", "receive_message"): ("QueueUrl", "CONSUMES_EVENT"),
+    ("sqs", "resource", "send_message"): (None, "PRODUCES_EVENT"),
+    ("sqs", "resource", "receive_messages"): (None, "CONSUMES_EVENT"),
+    ("sns", "client", "publish"): ("TopicArn", "PRODUCES_EVENT"),
+}
+_CHANNEL_ARN = re.compile(r"arn:aws:(sqs|sns):[A-Za-z0-9-]+:[0-9]+:([A-Za-z0-9_-]+(?:\.fifo)?)")
+_CHANNEL_URL = re.compile(r"https?://sqs\.[A-Za-z0-9-]+\.amazonaws\.com/[0-9]+/([A-Za-z0-9_-]+(?:\.fifo)?)")
+
+
+def channel_of(service: str, value: str, bare: bool) -> str | None:
+    """``broker:address`` of an ARN, a queue URL or, if ``bare``, a queue's name."""
+    if m := _CHANNEL_ARN.fullmatch(value.strip()):
+        return f"{m[1]}:{m[2]}" if m[1] == service else None
+    if service == "sqs" and (m := _CHANNEL_URL.fullmatch(value.strip())):
+        return f"sqs:{m[1]}"
+    return f"sqs:{value}" if bare and re.fullmatch(r"[A-Za-z0-9_-]{1,80}|[A-Za-z0-9_-]{1,75}\.fifo", value) else None
+
+
+class _Bound:
+    """What the names of a module and of one function are bound to: (service, factory) of clients, (argument, whether a bare name) of queues."""
+
+    def __init__(self, cloud: set[str], known: dict[str, str]):
+        self.cloud, self.known, self.clients, self.queues = cloud, known, {}, {}
+
+    def inner(self) -> _Bound:
+        out = _Bound(self.cloud, self.known)
+        out.clients, out.queues = dict(self.clients), dict(self.queues)
+        return out
+
+    def client(self, node: ast.AST | None) -> tuple[str, str] | None:
+        if isinstance(node, ast.Name):
+            return self.clients.get(node.id)
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr in ("client", "resource") and node.args:
+            base, service = node.func.value, text_of(node.args[0], self.known)
+            session = isinstance(base, ast.Call) and isinstance(base.func, ast.Attribute) and base.func.attr == "Session" and ast.unparse(base.func.value) in self.cloud
+            if service in ("sqs", "sns") and (session or ast.unparse(base) in self.cloud):
+                return service, node.func.attr
+        return None
+
+    def queue(self, node: ast.AST | None) -> tuple[ast.AST, bool] | None:
+        if isinstance(node, ast.Name):
+            return self.queues.get(node.id)
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and self.client(node.func.value) == ("sqs", "resource"):
+            named = next((k.value for k in node.keywords if k.arg == "QueueName"), None)
+            if node.func.attr == "Queue" and node.args:
+                return node.args[0], False
+            if node.func.attr == "get_queue_by_name" and named is not None:
+                return named, True
+        return None
+
+    def bind(self, node: ast.stmt) -> None:
+        targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) else []
+        for t in targets:
+            if isinstance(t, ast.Name):
+                client, queue = self.client(node.value), self.queue(node.value)
+                self.clients.pop(t.id, None)
+                self.queues.pop(t.id, None)
+                if client:
+                    self.clients[t.id] = client
+                elif queue:
+                    self.queues[t.id] = queue
 
 
 @adapter("python-boto3-transport", "*.py", "PRODUCES_EVENT CONSUMES_EVENT UNRESOLVED_CHANNEL")
 def transport(path: str, text: str) -> Iterator[Row]:
-    """Queue and topic calls; a channel that can't be told is reported as such."""
-    for call, known in _calls(text):
-        if isinstance(call.func, ast.Attribute) and call.func.attr in TRANSPORT:
-            argument, relation = TRANSPORT[call.func.attr]
-            given = next((k.value for k in call.keywords if k.arg == argument), None)
-            if given is not None:
-                name = text_of(given, known)
-                yield ("EventChannel", re.split(r"[:/]", name)[-1], relation, path, call.lineno) if name else ("EventChannel", ast.unparse(given), "UNRESOLVED_CHANNEL", path, call.lineno)
+    """Calls on queues and topics whose client comes from the cloud's library; a channel that can't be told is reported as such.
+
+    A local function that passes its argument on counts for its callers, two calls deep at most.
+    """
+    tree = ast.parse(text)
+    known = constants(tree)
+    cloud = {a.asname or a.name for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names if a.name == "boto3"}
+    top = _Bound(cloud, known)
+    for node in tree.body:
+        top.bind(node)
+    functions = [n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
+    named = {f.name: f for f in tree.body if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef)}
+
+    def events(f: ast.AST, known: dict[str, str], depth: int) -> Iterator[tuple[ast.Call, str, str, ast.AST, dict, bool]]:
+        bound = top.inner()
+        bound.known = known
+        todo = list(ast.iter_child_nodes(f))[::-1]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+                continue
+            if isinstance(node, ast.Call):
+                found = False
+                if isinstance(node.func, ast.Attribute):
+                    method, receiver = node.func.attr, node.func.value
+                    if (queue := bound.queue(receiver)) and (spec := TRANSPORT.get(("sqs", "resource", method))):
+                        found = True
+                        yield node, "sqs", spec[1], queue[0], known, queue[1]
+                    elif (client := bound.client(receiver)) and (spec := TRANSPORT.get((*client, method))) and spec[0]:
+                        given = next((k.value for k in node.keywords if k.arg == spec[0]), None)
+                        if given is not None:
+                            found = True
+                            yield node, client[0], spec[1], given, known, False
+                wrapper = named.get(node.func.id) if isinstance(node.func, ast.Name) else None
+                if not found and wrapper is not None and wrapper is not f and depth < 2:
+                    names = [a.arg for a in wrapper.args.args]
+                    given = dict(zip(names, node.args, strict=False)) | {k.arg: k.value for k in node.keywords if k.arg in names}
+                    told = {n: t for n, v in given.items() if (t := text_of(v, known)) is not None}
+                    if told:
+                        inner = list(events(wrapper, {**top.known, **told}, depth + 1))
+                        if len(inner) == 1:
+                            yield (node, *inner[0][1:])
+            todo += list(ast.iter_child_nodes(node))[::-1]
+            if isinstance(node, ast.Assign | ast.AnnAssign):
+                bound.bind(node)
+
+    for f in functions:
+        local = {a.arg for a in (*f.args.args, *f.args.kwonlyargs)}
+        for call, service, relation, argument, told, bare in events(f, {k: v for k, v in known.items() if k not in local}, 0):
+            value = text_of(argument, told)
+            name = channel_of(service, value, bare) if value is not None else None
+            if name:
+                yield "EventChannel", name, relation, path, call.lineno
+            else:
+                yield "EventChannel", ast.unparse(argument), "UNRESOLVED_CHANNEL", path, call.lineno
 
 
 @adapter("python-web-routes", "*.py", "EXPOSES_ENDPOINT")
@@ -388,7 +495,7 @@ def dotnet(path: str, text: str) -> Iterator[Row]:
             owner, prefix, pending = m[1], pending, ""
             yield "CodeSymbol", owner, "DEFINED_IN", path, n
         for verb, route in _CS_VERB.findall(line):
-            whole = "/".join(x.strip("/") for x in (prefix, route) if x).replace("[controller]", owner.removesuffix("Controller"))
+            whole = "/".join(x.strip("/") for x in (prefix, route) if x).replace("[controller]", owner.removesuffix("Controller").lower())
             yield "Endpoint", f"{verb.upper()} /{whole}", "EXPOSES_ENDPOINT", owner, n
         for verb, route in _CS_MAP.findall(line):
             yield "Endpoint", f"{verb.upper()} /{route.lstrip('/')}", "EXPOSES_ENDPOINT", path, n
@@ -493,3 +600,6 @@ def selected(rows: DataFrame) -> DataFrame:
     need = wanted.groupBy("service").agg(F.count("*").alias("need"))
     met = wanted.join(pairs("HAS_LABEL", "target"), ["ns", "pair"]).groupBy("service", "target").agg(F.count("*").alias("met"))
     return met.join(need, "service").where("met = need").select("service", "target")
+
+
+from . import frameworks  # noqa: E402, F401  (adds its adapters, on the workers too)

@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders that hold no sources, files that only pin versions, and the size over which a file is only reported.
-IGNORED = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__", "dist", "build", "target", ".tox", ".mypy_cache", ".pytest_cache", ".idea", "vendor")
-LOCKFILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Pipfile.lock", "Cargo.lock", "composer.lock", "go.sum")
+IGNORED = (
+    ".git", ".idea", ".ipynb_checkpoints", ".mypy_cache", ".next", ".pytest_cache", ".ruff_cache", ".turbo", ".vercel", ".venv", "__pycache__", "build", "coverage",
+    "dist", "node_modules",
+)
+LOCKFILES = ("package-lock.json", "pnpm-lock.yaml", "poetry.lock", "yarn.lock")
 MAX_BYTES = 2_000_000
+BUILT = ("bin", "obj", "out", "target")  # folders whose files of unsupported languages aren't counted
 LANGUAGES = {
-    "py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "cs": "csharp",
-    "go": "go", "java": "java", "rb": "ruby", "rs": "rust", "php": "php", "kt": "kotlin", "scala": "scala", "swift": "swift",
+    "py": "python", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "cs": "dotnet", "bash": "shell", "c": "c-cpp", "cc": "c-cpp", "clj": "clojure",
+    "cljs": "clojure", "cpp": "c-cpp", "cxx": "c-cpp", "dart": "dart", "erl": "erlang", "ex": "elixir", "exs": "elixir", "h": "c-cpp", "hpp": "c-cpp", "go": "go", "java": "java",
+    "kt": "kotlin", "kts": "kotlin", "lua": "lua", "m": "objective-c", "mm": "objective-c", "php": "php", "rb": "ruby", "rs": "rust", "scala": "scala", "sh": "shell", "swift": "swift",
+    "zsh": "shell",
 }
 
 
@@ -53,7 +59,8 @@ def with_language(files: DataFrame) -> DataFrame:
 
 def unsupported(files: DataFrame, supported: tuple[str, ...]) -> DataFrame:
     """(language, file_count, sample_paths): files of known languages that nothing reads."""
-    rows = with_language(files).where(F.col("language").isNotNull() & ~F.col("language").isin(*supported))
+    built = F.exists(F.split("path", "/"), lambda part: part.isin(*BUILT))
+    rows = with_language(files).where(F.col("language").isNotNull() & ~F.col("language").isin(*supported) & ~built)
     return rows.groupBy("language").agg(F.count("*").alias("file_count"), F.slice(F.array_sort(F.collect_set("path")), 1, 5).alias("sample_paths"))
 
 

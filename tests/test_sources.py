@@ -8,7 +8,9 @@ TREE = {
     "site/CNAME": "Docs.Example.org\nnot a domain\n",
     "app/api.py": "import os\nfrom .db import q\n@app.route('/u/<id>', methods=['GET', 'POST'])\ndef user(id):\n    return q(os.getenv('DB_URL'))\nclass A:\n    async def m(self):\n        self.run()\n",
     "app/out.py": "import requests, boto3\nBASE = 'https://api.example.com'\nURL = BASE + '/v1'\nrequests.post(f'{URL}/pay/{id}')\nclient.request('PUT', '/x')\nrequests.get(where)\n"
-    "q.send_message(QueueUrl='https://sqs/1/jobs', MessageBody='')\nq.receive_message(QueueUrl=find())\n",
+    "sqs = boto3.client('sqs')\ndef send(url):\n    sqs.send_message(QueueUrl=url, MessageBody='')\ndef run():\n    send('https://sqs.eu-west-1.amazonaws.com/1/jobs')\n"
+    "    sqs.receive_message(QueueUrl=find())\n    other.send_message(QueueUrl='https://sqs.eu-west-1.amazonaws.com/1/no')\n    sqs.delete_message(QueueUrl='https://sqs.eu-west-1.amazonaws.com/1/no')\n"
+    "    q = boto3.resource('sqs').get_queue_by_name(QueueName='mail')\n    q.receive_messages()\n    boto3.client('sns').publish(TopicArn='arn:aws:sns:eu:1:news')\n",
     "app/urls.py": "r = APIRouter(prefix='/shop')\n@r.get('/cart')\ndef cart(): ...\nurlpatterns = [path('u/<int:id>/', views.user), path('sub/', include('x'))]\n",
     "app/broken.py": "def (:\n",
     "spec/openapi.json": json.dumps({"paths": {"/a/{x}": {"get": {}, "delete": {}, "summary": "s"}}}),
@@ -37,7 +39,8 @@ def test_tree(spark, tmp_path):
         (tmp_path / name).write_text(text)
     tree = files.read_files(spark, f"file://{tmp_path}")
     assert {r.path for r in tree.select("path").collect()} == {p for p in TREE if not p.startswith(("node_modules", ".env"))}
-    assert [tuple(r) for r in files.unsupported(tree, ("python", "typescript", "csharp")).collect()] == [("go", 1, ["main.go"])]
+    assert not {r.name for r in adapters.extract(tree.selectExpr("path", "decode(content, 'UTF-8') AS text")).where("adapter = 'python-boto3-transport'").collect()} & {"sqs:no", "no"}
+    assert [tuple(r) for r in files.unsupported(tree, ("python", "typescript", "dotnet")).collect()] == [("go", 1, ["main.go"])]
     small, large = files.config_files(tree, ("yml", "yaml", "lock"))
     assert {r.path for r in small.collect()} == {"k/all.yaml", "serverless.yml"} and large.count() == 0
     texts = tree.selectExpr("path", "decode(content, 'UTF-8') AS text").union(files.read_dotenv(spark, f"file://{tmp_path}"))
@@ -51,7 +54,9 @@ def test_tree(spark, tmp_path):
         ("python-ast", "DB_URL", "REFERENCES_ENV_VAR", "app.api"), ("config-openapi", "GET /a/{x}", "DOCUMENTS_ENDPOINT", "spec/openapi.json"),
         ("config-openapi", "DELETE /a/{x}", "DOCUMENTS_ENDPOINT", "spec/openapi.json"), ("config-grpc-proto", "POST /shop.v1.Cart/Add", "EXPOSES_ENDPOINT", "shop.v1.Cart"),
         ("python-http-client", "POST https://api.example.com/v1/pay/{}", "CALLS_ENDPOINT", "app/out.py"), ("python-http-client", "PUT /x", "CALLS_ENDPOINT", "app/out.py"),
-        ("python-boto3-transport", "jobs", "PRODUCES_EVENT", "app/out.py"), ("python-boto3-transport", "find()", "UNRESOLVED_CHANNEL", "app/out.py"),
+        ("python-boto3-transport", "sqs:jobs", "PRODUCES_EVENT", "app/out.py"), ("python-boto3-transport", "find()", "UNRESOLVED_CHANNEL", "app/out.py"),
+        ("python-boto3-transport", "sqs:mail", "CONSUMES_EVENT", "app/out.py"), ("python-boto3-transport", "sns:news", "PRODUCES_EVENT", "app/out.py"),
+        ("python-boto3-transport", "url", "UNRESOLVED_CHANNEL", "app/out.py"),
         ("python-web-routes", "GET /shop/cart", "EXPOSES_ENDPOINT", "cart"), ("python-web-routes", "ANY /u/<int:id>/", "EXPOSES_ENDPOINT", "views.user"),
         ("config-kubernetes-yaml", "shop.example.com", "ROUTES_DOMAIN_TO_DEPLOY", "default/web"), ("config-serverless-yaml", "GET /users/{id}", "EXPOSES_ENDPOINT", "f"),
         ("config-serverless-yaml", "sqs:jobs", "CONSUMES_EVENT", "f"), ("config-terraform", "jobs", "DEFINES_CHANNEL", "aws_sqs_queue.jobs"),
@@ -59,7 +64,7 @@ def test_tree(spark, tmp_path):
         ("config-zappa", "pay-prod", "DEPLOYS_VIA_CONFIG", "zappa_lambda"), ("config-zappa", "pay.example.com", "ROUTES_DOMAIN_TO_DEPLOY", "pay-prod"),
         ("config-apache-vhost", "b.example.com", "ROUTES_DOMAIN_TO_DEPLOY", "/srv/app.wsgi"), ("typescript-text", "web/index.ts", "IMPORTS", "y"),
         ("typescript-text", "GET /health", "EXPOSES_ENDPOINT", "web/index.ts"), ("typescript-text", "GET /api/users", "CALLS_ENDPOINT", "web/index.ts"),
-        ("dotnet-endpoints", "GET /api/Cart/{id}", "EXPOSES_ENDPOINT", "CartController"), ("dotnet-endpoints", "POST /pay", "EXPOSES_ENDPOINT", "net/C.cs"),
+        ("dotnet-endpoints", "GET /api/cart/{id}", "EXPOSES_ENDPOINT", "CartController"), ("dotnet-endpoints", "POST /pay", "EXPOSES_ENDPOINT", "net/C.cs"),
         ("event-channel-text", "orders", "REFERENCES_EVENT_CHANNEL", "q.ini"), ("package-manifests", "Django", "DEPENDS_ON", "registry"),
         ("package-manifests", "lib", "DEPENDS_ON", "git_url"), ("package-manifests", "b", "DEPENDS_ON", "workspace"), ("package-manifests", "c", "DEPENDS_ON", "file_path"),
         ("package-manifests", "N.Json", "DEPENDS_ON", "registry"),
@@ -68,7 +73,7 @@ def test_tree(spark, tmp_path):
     assert not {g for g in got if g[1] in ("no.example.com", "open.example.com", "POST /shop.v1.Cart/No", "-r")}
     assert {(r.path, r.error.split(":")[0]) for r in rows.where("error IS NOT NULL").collect()} == {("app/broken.py", "SyntaxError")}
     assert {tuple(r) for r in adapters.selected(rows).collect()} == {("default/web", "default/web")}
-    assert adapters.coverage(rows).where("state = 'uninstrumented'").count() == 4  # each adapter of Python files
+    assert adapters.coverage(rows).where("state = 'uninstrumented'").count() == 7  # each adapter of Python files
     used = rows.where("relation = 'IMPORTS'").select("path", "target")
     refused = adapters.refused_stacks(used, {"requests": "requests", "boto3": "boto3", "flask": "flask"}, ("requests",))
     assert [tuple(r) for r in refused.collect()] == [("boto3", 1, "no_adapter_for_known_stack")]
