@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Trust orders, strongest first.  The summary's and the ranking's differ.
-SUMMARY_ORDER = ("authoritative_declared", "authoritative_static", "runtime_observed", "deterministic_static", "manual_override")
+SUMMARY_ORDER = ("authoritative_declared", "runtime_observed", "deterministic_static", "manual_override", "inferred_llm")
 RANK_ORDER = (
-    "authoritative_declared", "authoritative_static", "manual_override", "deterministic_static",
-    "static_inferred", "runtime_observed", "candidate", "inferred_llm",
+    "authoritative_declared", "manual_override", "authoritative_static", "deterministic_static",
+    "runtime_observed", "static_inferred", "candidate", "inferred_llm",
 )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratagraph.functions import columns as C
 
 #: The metrics whose geometric mean is taken, and the two that scale it.
-MEAN = ("inventory", "dimension_classification", "freshness", "extractor_opportunity", "evidence_grounding", "trust_mix")
+MEAN = ("freshness", "extractor_opportunity", "evidence_grounding", "meta_coverage", "useful_edge", "trust_mix")
 SCALE = ("silent_gap", "identity_health")
 STATES = ("usable", "partial", "n_a")
 
@@ -49,9 +49,12 @@ def scores(metrics: DataFrame, by: list[str]) -> DataFrame:
 
 
 def flags(metrics: DataFrame, by: list[str]) -> DataFrame:
-    """(by, flags): one string a metric that isn't usable, or that breaks the rule that a value goes with its state."""
-    broken = (F.col("value").isNull() != (F.col("state") == "n_a")) | ~F.col("state").isin(*STATES)
-    said = F.when(broken, F.concat_ws(":", F.lit("violation"), "metric")).when(F.col("state") != "usable", F.concat_ws(":", "state", "metric", "reason"))
+    """(by, flags): one string a metric that isn't usable, that leaves facts without evidence, or that leaves gaps."""
+    said = (
+        F.when(F.col("state") != "usable", F.concat_ws(":", "metric", "state", "reason"))
+        .when((F.col("metric") == "evidence_grounding") & (F.col("value") < 1), "evidence_grounding:contract_violation")
+        .when((F.col("metric") == "silent_gap") & (F.col("value") > 0), "silent_gap:gap_detected")
+    )
     return metrics.groupBy(*by).agg(F.array_sort(F.collect_set(said)).alias("flags"))
 
 

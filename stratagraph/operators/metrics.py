@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 # The weights of the trust mix.
 DERIVATION_WEIGHTS = {
-    "authoritative_declared": 1.0, "authoritative_static": 1.0, "manual_override": 0.9, "deterministic_static": 0.9,
-    "runtime_observed": 0.8, "static_inferred": 0.6, "candidate": 0.3, "inferred_llm": 0.2,
+    "authoritative_declared": 1.0, "authoritative_static": 1.0, "deterministic_static": 0.95, "manual_override": 0.9,
+    "runtime_observed": 0.85, "static_inferred": 0.7, "candidate": 0.45, "inferred_llm": 0.35,
 }
-STATUS_WEIGHTS = {"canonical": 1.0, "candidate": 0.5, "demoted": 0.0}
+STATUS_WEIGHTS = {"canonical": 1.0, "candidate": 0.5, "demoted": 0.1}
 
 
 def weight(of: str, weights: dict[str, float]) -> Column:

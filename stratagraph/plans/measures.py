@@ -120,10 +120,6 @@ def _cell_metrics(spark, sf_dir):
     return wide.unpivot(["source", "lang"], ["classified", "instrumented", "sized"], "metric", "value")
 
 
-def cell_score(spark, sf_dir):
-    return metrics.geometric_mean(_cell_metrics(spark, sf_dir), ["source", "lang"], "value").withColumn("score", F.round("score", 9))
-
-
 def fleet_worst_groups(spark, sf_dir):
     cells = metrics.geometric_mean(_cell_metrics(spark, sf_dir), ["source", "lang"], "value")
     means = cells.groupBy("source").agg(F.round(F.avg("score"), 9).alias("score"), F.count_if(F.col("score") == 0).alias("zero_cells"))
@@ -135,12 +131,6 @@ def worst_metrics(spark, sf_dir):
     return rows.groupBy("metric").agg(F.round(F.avg(1 - F.col("value")), 9).alias("badness"), F.count_if(F.col("value") == 0).alias("zero_cells"))
 
 
-def contract_flags(spark, sf_dir):
-    """By cell, the metrics that are short of a half, joined."""
-    rows = _cell_metrics(spark, sf_dir).where("value < 0.5")
-    return rows.groupBy("source", "lang").agg(F.array_join(F.array_sort(F.collect_set("metric")), ",").alias("flags"))
-
-
 def coverage_gaps(spark, sf_dir):
     return coverage(spark, sf_dir).where("state <> 'instrumented'").orderBy("state", "doc").limit(100)
 
@@ -218,7 +208,7 @@ QUERIES = {
     for f in (
         rank_rows_topk, diverse_topk, per_kind_cap, round_robin, budget_prefix, metric_freshness, metric_grounding, metric_trust_mix, metric_useful_edge,
         metric_meta_coverage, metric_identity_health, metric_cross_repo_linkage, metric_extractor_opportunity, metric_silent_gap, metric_inventory,
-        metric_dimension_classification, cell_score, fleet_worst_groups, worst_metrics, contract_flags, coverage_gaps, coverage_state_counts, metrics_delta,
+        metric_dimension_classification, fleet_worst_groups, worst_metrics, coverage_gaps, coverage_state_counts, metrics_delta,
         baseline_drift, paired_deltas, phase_aggregates, rubric_counts, config_scan_split, unsupported_languages, import_categories,
     )
 }
@@ -249,7 +239,7 @@ QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_
     "metric_freshness": f"SELECT avg((l_shipdate >= TIMESTAMP '{CUTOFF}')::INT) AS value FROM lineitem WHERE l_shipdate IS NOT NULL",
     "metric_grounding": "SELECT avg((p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45))::INT) AS value FROM (SELECT DISTINCT p_partkey FROM part)",
     "metric_trust_mix": f"""WITH {EVIDENCE}, b AS (SELECT fact, max(CASE derivation_class {_TRUST} ELSE 0 END) AS best FROM evidence WHERE quantity >= 30 GROUP BY 1)
-SELECT avg(CASE WHEN p_size <= 25 THEN 1.0::DOUBLE WHEN p_size <= 40 THEN 0.5 ELSE 0 END * coalesce(best, 0)::DOUBLE) AS value FROM part LEFT JOIN b ON fact = p_partkey""",
+SELECT avg(CASE WHEN p_size <= 25 THEN 1.0::DOUBLE WHEN p_size <= 40 THEN 0.5 ELSE 0.1 END * coalesce(best, 0)::DOUBLE) AS value FROM part LEFT JOIN b ON fact = p_partkey""",
     "metric_useful_edge": f"""WITH {CALLS}, t AS (SELECT src AS n FROM calls WHERE dst > src * 2 UNION SELECT dst FROM calls WHERE dst > src * 2)
 SELECT avg((p_partkey IN (SELECT n FROM t))::INT) AS value FROM part""",
     "metric_meta_coverage": f"""WITH {COVERAGE}, {LINKS}, e AS (SELECT unnest(['CALLS', 'IMPORTS', 'EXPOSES', 'instrumented', 'stale', 'DEPLOYS_VIA_CONFIG']) AS name)
@@ -260,10 +250,8 @@ SELECT avg((name IN (SELECT state FROM coverage UNION SELECT side FROM links))::
     "metric_silent_gap": f"WITH {COVERAGE} SELECT avg((doc_id NOT IN (SELECT doc FROM coverage WHERE state IN ('instrumented', 'uninstrumented')))::INT) AS value FROM documents",
     "metric_inventory": f"{_CELLS} SELECT source, lang, least(count(state) / 10, 1.0) AS value FROM cells GROUP BY 1, 2",
     "metric_dimension_classification": f"{_CELLS} SELECT source, lang, count(state) / count(*) AS value FROM cells GROUP BY 1, 2",
-    "cell_score": f"{_SCORES} SELECT source, lang, round(score, 9) AS score FROM scores",
     "fleet_worst_groups": f"{_SCORES} SELECT source, round(avg(score), 9) AS score, count(*) FILTER (score = 0) AS zero_cells FROM scores GROUP BY 1 ORDER BY 2, 1 LIMIT 8",
     "worst_metrics": f"{_CELLS} SELECT metric, round(avg(1 - value), 9) AS badness, count(*) FILTER (value = 0) AS zero_cells FROM long GROUP BY 1",
-    "contract_flags": f"{_CELLS} SELECT source, lang, string_agg(metric, ',' ORDER BY metric) AS flags FROM long WHERE value < 0.5 GROUP BY 1, 2",
     "coverage_gaps": f"WITH {COVERAGE} SELECT * FROM coverage WHERE state <> 'instrumented' ORDER BY state, doc LIMIT 100",
     "coverage_state_counts": f"WITH {COVERAGE} SELECT state, count(*) AS n FROM coverage GROUP BY 1",
     "metrics_delta": """WITH b AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), a AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1)

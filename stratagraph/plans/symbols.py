@@ -189,20 +189,6 @@ def link_ambiguous(spark, sf_dir):
     return resolve.unique_providers(provider_candidates(spark, sf_dir), "consumer", "provider").where("providers > 1").select("consumer", "providers")
 
 
-def package_classification(spark, sf_dir):
-    """A bucket a module and package, by category and by how many providers the module has."""
-    found = resolve.unique_providers(provider_candidates(spark, sf_dir), "consumer", "provider").select(F.col("consumer").alias("module"), "providers")
-    rows = imports(spark, sf_dir).join(found, "module", "left")
-    bucket = (
-        F.when(F.col("category") == "unknown", "unknown")
-        .when((F.col("category") == "internal_module") & (F.col("providers") == 1), "candidate_internal")
-        .when(F.col("category") == "internal_module", "candidate_internal_ambiguous")
-        .when(F.col("ordinal") == 1, "consumer_manifest_external")
-        .otherwise("code_inferred_external")
-    )
-    return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count_distinct("package").alias("packages"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -210,7 +196,7 @@ QUERIES = {
         symbols_in_file, evidence_for_call, blast_radius, transitive_callers, reverse_impact_tiers, dependency_paths, modules_importing,
         top_dependencies, dependency_info, who_imports_grouped, top_internal_dependencies, top_fan_in_symbols, modules_importing_both,
         import_target_ambiguity, evidence_summary, dedupe_first_wins, cross_repo_links, repo_dependencies, link_unique_provider,
-        link_ambiguous, package_classification,
+        link_ambiguous,
     )
 }
 
@@ -273,8 +259,8 @@ SELECT module, count(*) FILTER (package = a) AS first_facts, count(*) FILTER (pa
 HAVING count(*) FILTER (package = a) > 0 AND count(*) FILTER (package = b) > 0""",
     "import_target_ambiguity": """SELECT lower(p_name) AS alias, count(DISTINCT p_brand || '/' || p_type) AS targets,
   CASE WHEN count(DISTINCT p_brand || '/' || p_type) = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution FROM part GROUP BY 1""",
-    "evidence_summary": f"""WITH {EVIDENCE}, p AS (SELECT *, CASE derivation_class WHEN 'authoritative_declared' THEN 5 WHEN 'authoritative_static' THEN 4
-    WHEN 'runtime_observed' THEN 3 WHEN 'deterministic_static' THEN 2 WHEN 'manual_override' THEN 1 ELSE 0 END AS p FROM evidence)
+    "evidence_summary": f"""WITH {EVIDENCE}, p AS (SELECT *, CASE derivation_class WHEN 'authoritative_declared' THEN 5 WHEN 'runtime_observed' THEN 4
+    WHEN 'deterministic_static' THEN 3 WHEN 'manual_override' THEN 2 WHEN 'inferred_llm' THEN 1 ELSE 0 END AS p FROM evidence)
 SELECT fact, arg_max(derivation_class, p) AS strongest, count(DISTINCT source_system) AS systems, count(*) AS rows FROM p GROUP BY 1""",
     "dedupe_first_wins": f"""WITH {EVIDENCE} SELECT fact, source_system, ordinal, derivation_class, quantity FROM (
   SELECT *, row_number() OVER (PARTITION BY fact, source_system ORDER BY ordinal, derivation_class, quantity) AS r FROM evidence) WHERE r = 1""",
@@ -283,8 +269,4 @@ SELECT fact, arg_max(derivation_class, p) AS strongest, count(DISTINCT source_sy
     "link_unique_provider": f"""WITH {PROVIDERS}, {_UNIQUE} SELECT consumer, provider,
   'fact_' || substr(sha256('RESOLVES_TO_REPO|' || consumer || '|' || provider), 1, 24) AS fact_id FROM one WHERE providers = 1""",
     "link_ambiguous": f"WITH {PROVIDERS}, {_UNIQUE} SELECT consumer, providers FROM one WHERE providers > 1",
-    "package_classification": f"""WITH {IMPORTS}, {PROVIDERS}, {_UNIQUE}
-SELECT CASE WHEN category = 'unknown' THEN 'unknown' WHEN category = 'internal_module' AND providers = 1 THEN 'candidate_internal'
-  WHEN category = 'internal_module' THEN 'candidate_internal_ambiguous' WHEN ordinal = 1 THEN 'consumer_manifest_external' ELSE 'code_inferred_external' END AS bucket,
-  count(*) AS n, count(DISTINCT package) AS packages FROM imports LEFT JOIN one ON consumer = module GROUP BY 1""",
 }

@@ -20,7 +20,8 @@ def test_scores_flags_and_fleet(spark):
     got = {(r.repo, r.dimension): r.score for r in cells.scores(metrics, by).collect()}
     assert math.isclose(got["r1", "web"], 0.5 * 0.75 * 0.9) and got["r1", "iac"] == 0.0 and got["r2", "web"] is None and got["r3", "web"] is None
     said = {(r.repo, r.dimension): r.flags for r in cells.flags(metrics, by).collect()}
-    assert said == {("r1", "web"): [], ("r1", "iac"): [], ("r2", "web"): ["n_a:trust_mix:no_denominator"], ("r3", "web"): ["partial:trust_mix:stale"]}
+    both = ["evidence_grounding:contract_violation", "silent_gap:gap_detected"]
+    assert said == {("r1", "web"): both, ("r1", "iac"): both, ("r2", "web"): [*both, "trust_mix:n_a:no_denominator"], ("r3", "web"): [*both, "trust_mix:partial:stale"]}
     out = {(r.grouping, r.name): (r.score, r.cells) for r in cells.fleet(metrics, cells.scores(metrics, by)).collect()}
     assert math.isclose(out["fleet", ""][0], 0.16875) and out["repo", "r1"][1] == 2 and out["dimension", "iac"] == (0.0, 1) and math.isclose(out["metric", "silent_gap"][0], 0.75)
     a = spark.createDataFrame([("r", "1")], "repo string, commit_sha string")
