@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.functions import columns as C
 from stratagraph.operators import aggregate, joins, traversal
+from stratagraph.operators.lineage import cut
 from stratagraph.sources.snapshot import read_snapshot
 
 MAX_LIMIT, MAX_DEPTH = 500, 6
@@ -63,11 +64,14 @@ class Graph:
     @cached_property
     def joined(self) -> DataFrame:
         """Facts with the kind, label, identity and status of both ends; a fact without an end is left out."""
+        return self._with_ends(self.facts)
+
+    def _with_ends(self, facts: DataFrame) -> DataFrame:
         def end(side: str) -> DataFrame:
             names = {"entity_id": f"{side}_id", "kind": f"{side}_kind", "label": f"{side}_label", "identity": f"{side}_identity", "canonical_status": f"{side}_status"}
             return self.entities.select(*[F.col(a).alias(b) for a, b in names.items()])
 
-        return self.facts.join(end("subject"), "subject_id").join(end("object"), "object_id")
+        return facts.join(end("subject"), "subject_id").join(end("object"), "object_id")
 
     def _facts(self, *predicates: str) -> DataFrame:
         return self.joined.where(F.col("predicate").isin(*predicates))
@@ -191,6 +195,21 @@ class Graph:
         rows = listed(seen.orderBy("ordinal").limit(clamp(limit)).select("evidence_id", "target_id", "derivation_class", "source_system", "bytes_ref"))
         return {"status": "ok" if rows else "not_found", "evidence": rows}
 
+    def evidence_for_any_call(self, caller: str, limit: int = 25) -> list[dict]:
+        """Evidence of each call that one symbol makes, in order."""
+        _, nodes = self._targets(caller, None, None, False, limit)
+        if nodes is None:
+            return []
+        calls = self.facts.where("predicate = 'CALLS'").join(F.broadcast(nodes), F.col("subject_id") == F.col("node"), "left_semi")  # one node
+        seen = self.evidence.where("target_type = 'fact'").join(calls.select(F.col("fact_id").alias("target_id")), "target_id", "left_semi")
+        return listed(seen.orderBy("ordinal").limit(clamp(limit)).select("evidence_id", "target_id", "derivation_class", "source_system", "bytes_ref"))
+
+    def module_samples(self, prefix: str, most: int = 5) -> DataFrame:
+        """(module, label): of each module that begins so, the first labels in order."""
+        rows = self.entities.where("kind = 'CodeSymbol'").select(F.col("identity")["module"].alias("module"), "label").distinct()
+        place = F.row_number().over(Window.partitionBy("module").orderBy("label"))
+        return rows.where(F.startswith("module", F.lit(prefix))).withColumn("place", place).where(F.col("place") <= most).drop("place")
+
     # imports
 
     def _imports(self) -> DataFrame:
@@ -236,8 +255,8 @@ class Graph:
     def modules_importing_both(self, left: str, right: str, category: str | None = None, limit: int = 25) -> dict:
         rows = self._imports() if category is None else self._imports().where(F.col("category").isin(*category.split(",")))
         has = lambda t: F.array_contains("names", F.lit(t.lower()))
-        tagged = rows.withColumn("side", F.when(has(left), "left").when(has(right), "right"))
-        out = listed(joins.both(tagged, "subject_label", "side", "left", "right").orderBy("subject_label").limit(clamp(limit)))
+        each = rows.groupBy("subject_label").agg(F.count_if(has(left)).alias("first_facts"), F.count_if(has(right)).alias("second_facts"))  # a row may be of both
+        out = listed(each.where("first_facts > 0 AND second_facts > 0").orderBy("subject_label").limit(clamp(limit)))
         return {"status": "ok" if out else "not_found", "modules": out}
 
     def dependency_path(self, source: str, target: str, max_depth: int = 4, limit: int = 5) -> dict:
@@ -273,11 +292,11 @@ class Graph:
         hit = F.contains(F.lower("label"), F.lit(domain.lower()))
         nodes = self.entities.where((F.col("kind") == "Domain") & hit).select(F.col("entity_id").alias("node"))
         ends = self.facts.select("fact_id", F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("node"))
-        first = ends.join(nodes, "node", "left_semi").select("fact_id").distinct()
-        env = self.joined.join(first, "fact_id", "left_semi").where("object_kind = 'EnvVar' OR subject_kind = 'EnvVar'")
-        env = env.select(F.when(F.col("object_kind") == "EnvVar", F.col("object_id")).otherwise(F.col("subject_id")).alias("node")).distinct()
-        second = ends.join(env, "node", "left_semi").select("fact_id")
-        rows = self.joined.join(first.union(second).distinct(), "fact_id", "left_semi")
+        near = ends.join(nodes, "node", "left_semi").select("fact_id").distinct()
+        kinds = self.entities.where("kind = 'EnvVar'").select(F.col("entity_id").alias("node"))
+        env = ends.join(near, "fact_id", "left_semi").join(kinds, "node", "left_semi").select("node").distinct()
+        wanted = cut(ends.join(nodes.union(env).distinct(), "node", "left_semi").select("fact_id").distinct())
+        rows = self._with_ends(self.facts.join(wanted, "fact_id", "left_semi"))
         return {"status": "ok", "reference_count": rows.count(), "references": self._in_order(rows, limit)}
 
     def _endpoints(self) -> DataFrame:
