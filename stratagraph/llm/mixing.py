@@ -9,8 +9,8 @@ which Newton's method finds: a pass sums the totals and the Gram matrix of the
 documents with positive rates for several lengths of a step, so nothing is
 written between steps and a lost task only repeats its rows.
 
-Bound: at most ``MAX_LABELLED`` labelled rows train the classifier, on the
-driver.  Tokens and posteriors are computed in one pass and written; the steps
+Bound: at most ``MAX_LABELLED`` labelled ids train the classifier, on the driver,
+each by one text of ``toxicity.MAX_BYTES`` at most.  Tokens and posteriors are computed in one pass and written; the steps
 read those few numbers a document, and the driver gets one vector a task.
 """
 
@@ -69,7 +69,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> Classifier:
     )
     domain = F.when(F.col("toxic") > 0, 2).when(F.col("quality") > 0, 0).otherwise(1)
     sample = known.select("doc_id", domain.alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").toArrow()  # MAX_LABELLED ids at most
+    rows = toxicity.taught(docs, sample, "domain").toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     return train(rows["text"].take(pa.array(order)).to_pylist(), rows["domain"].to_numpy()[order].tolist())
 

@@ -3,14 +3,17 @@
 A word is the mean of the vectors of its character n-grams (hashed into
 ``BUCKETS``), a text the mean of its words, and a linear softmax on top gives
 the score.  Vectors and softmax are trained jointly in numpy by gradient descent
-with momentum, on a bounded sample of labelled texts; only n-grams that tell the
-classes apart get a vector.  A misspelling that was never seen still shares
-n-grams with what it misspells.
-
-Bound: at most ``MAX_CLEAN`` + ``MAX_TOXIC`` labelled rows reach the driver,
-picked by a hash of their id; class weights restore the labelled shares.  All
-documents are scored in one pass without an exchange; what the executors get is
-one number a bucket, as the softmax is linear in the vectors.
+over small batches of a bounded sample of labelled texts.  Every n-gram of the
+sample has a vector.  It enters by its spread and by a confidence that grows with
+what it tells about the label, so that n-grams which hardly tell anything learn
+hardly anything by heart; there is no cut.  A misspelling that was never seen
+still shares n-grams with what it misspells.
+
+Bound: at most ``MAX_CLEAN`` + ``MAX_TOXIC`` labelled ids, picked by a hash, reach
+the driver, each with one text of ``MAX_BYTES`` at most (longer ones teach nothing);
+class weights restore the labelled shares.  All documents are scored whole in one
+pass without an exchange; what the executors get is one number a bucket, as the
+softmax is linear in the vectors.
 """
 
 from __future__ import annotations
@@ -29,13 +32,13 @@ BUCKETS = 1 << BITS
 DIM = 4
 GRAMS = (3, 6)  # least and greatest length
 MAX_TOXIC = 2500
-MAX_CLEAN = 7500
-STEPS = 100
-RATE = 0.05
-DECAY = 1e-3
-MIN_DOCS = 4  # training texts of a gram that has a vector
-MIN_CHI = 20.0  # and its chi-square with the label,
-MIN_PHI = 0.01  # also as a share of the training texts: copies of one text teach no more than that
+MAX_CLEAN = 5000
+MAX_BYTES = 40_000  # of a text that teaches
+BATCH = 256
+STEPS = 240
+RATE = 0.5  # falls to 0 with the steps
+DOUBT = 24.0, 0.008  # chi-square at which an n-gram is half trusted, at least, and as a share of the training texts,
+TRUST = 4  # to this power
 BLOCK_CHARS = 300_000
 BLOCK_TEXTS = 40
 THRESHOLD = 0.3
@@ -119,17 +122,23 @@ def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shares(texts: list[str | None], inner: np.ndarray, only: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """By blocks of texts: the first one's number; text in the block * BUCKETS + bucket; the text's share in the bucket."""
+def _shares(texts: list[str | None], inner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its buckets, and its share in each."""
     for i in range(0, len(texts), BLOCK_TEXTS):
-        g = grams(texts[i : i + BLOCK_TEXTS], inner)
+        block = texts[i : i + BLOCK_TEXTS]
+        g = grams(block, inner)
         text = g.text[g.word]
-        share = 1 / (g.per_word[g.word] * g.per_text[text])
-        key = text * BUCKETS + g.bucket
-        if only is not None:
-            key, share = key[only[g.bucket]], share[only[g.bucket]]
-        key, at = np.unique(key, return_inverse=True)
-        yield i, key, np.bincount(at, share, len(key))
+        key, at = np.unique(text * BUCKETS + g.bucket, return_inverse=True)
+        share = np.bincount(at, 1 / (g.per_word[g.word] * g.per_text[text]), len(key)).astype(np.float32)
+        cuts = np.searchsorted(key, np.arange(1, len(block)) * BUCKETS)
+        yield from zip(np.split((key % BUCKETS).astype(np.int32), cuts), np.split(share, cuts), strict=True)
+
+
+def confidence(held: np.ndarray, by_toxic: np.ndarray, n: int, toxic: float) -> np.ndarray:
+    """How far each bucket is trusted, 0 to 1, by the chi-square of its presence in the ``n`` texts with the label."""
+    odds = by_toxic * (n - toxic) - (held - by_toxic) * toxic
+    chi = n * odds**2 / np.maximum(1, toxic * (n - toxic) * held * (n - held))
+    return (chi / (chi + max(DOUBT[0], DOUBT[1] * n))) ** TRUST
 
 
 def train(texts: list[str | None], labels: list[int], weights: list[float], inner: np.ndarray = LETTERS, seed: int = 7) -> Model:
@@ -139,48 +148,40 @@ def train(texts: list[str | None], labels: list[int], weights: list[float], inne
     prior = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), prior)
-    n, toxic = len(y), float(y.sum())
-    held, by_toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)  # texts of each bucket
-    for i, key, _ in _shares(texts, inner):
-        held += np.bincount(key % BUCKETS, minlength=BUCKETS)
-        by_toxic += np.bincount(key % BUCKETS, y[i + key // BUCKETS], BUCKETS)
-    # Grams that toxic texts hold more often than chance lets them; the rest would only be learnt by heart.
-    odds = by_toxic * (n - toxic) - (held - by_toxic) * toxic
-    chi = n * odds * np.abs(odds) / np.maximum(1, toxic * (n - toxic) * held * (n - held))
-    telling = (chi >= max(MIN_CHI, MIN_PHI * n)) & (held >= MIN_DOCS)
-    parts = [(i + key // BUCKETS, key % BUCKETS, value) for i, key, value in _shares(texts, inner, telling)]
-    doc, gram, value = (np.concatenate([x[k] for x in parts]) for k in range(3))
-    used, gram = np.unique(gram, return_inverse=True)
-    spread = 1 / np.sqrt(np.bincount(gram, value**2, len(used)) / n + 1e-12)
-    value = (value * spread[gram]).astype(np.float32)[:, None]
-    doc_starts = np.searchsorted(doc, np.arange(n))
-    by_gram = np.argsort(gram, kind="stable")
-    doc_b, value_b = doc[by_gram], value[by_gram]
-    gram_starts = np.searchsorted(gram[by_gram], np.arange(len(used)))
+    n = len(y)
+    held, by_toxic, square = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
+    rows = list(_shares(texts, inner))
+    for label, (bucket, value) in zip(labels, rows, strict=True):
+        held[bucket] += 1
+        by_toxic[bucket] += label
+        square[bucket] += value**2
+    scale = (confidence(held, by_toxic, n, float(y.sum())) / np.sqrt(square / n + 1e-12)).astype(np.float32)
 
     rng = np.random.default_rng(seed)
-    params = [rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32), rng.normal(0, 1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
-    params[2][1] = prior
-    moving = [np.zeros_like(p) for p in params]
+    table, out = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 1, (DIM, 2)).astype(np.float32)
+    bias = np.array([0, prior], np.float32)
     target = np.stack([1 - y, y], axis=1)
-    scale = (weight / weight.sum())[:, None]
-    for _ in range(STEPS):
-        table, out, bias = params
-        h = _sums(table[gram] * value, doc_starts)
+    weight = (weight / weight.mean())[:, None]
+    size, order = min(BATCH, n), np.zeros(0, np.int64)
+    for step in range(STEPS):
+        if len(order) < size:
+            order = np.append(order, rng.permutation(n))
+        at, order = order[:size], order[size:]
+        sizes = np.array([len(rows[k][0]) for k in at])
+        gram, value = (np.concatenate([rows[k][j] for k in at]) for j in (0, 1))
+        value = (value * scale[gram])[:, None]
+        h = _sums(table[gram] * value, np.cumsum(sizes) - sizes)
         logits = h @ out + bias
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        error = (p - target) * scale
-        back = error @ out.T
-        grads = [_sums(back[doc_b] * value_b, gram_starts) + DECAY * table, h.T @ error + DECAY * out, error.sum(axis=0)]
-        for param, move, grad in zip(params, moving, grads, strict=True):
-            move += grad - 0.1 * move
-            param -= np.clip(RATE * move, -0.2, 0.2)
-    table, out, bias = params
-    made = np.zeros(BUCKETS, np.float32)
-    made[used] = table @ (out[:, 1] - out[:, 0]) * spread
-    return Model(made, float(bias[1] - bias[0]))
+        error = (p - target[at]) * weight[at] / size
+        rate = RATE * (1 - step / STEPS)
+        back = np.repeat((error @ out.T).astype(np.float32), sizes, axis=0) * value
+        for d in range(DIM):
+            table[:, d] -= rate * np.bincount(gram, back[:, d], BUCKETS)
+        out -= rate * (h.T @ error)
+        bias -= rate * error.sum(axis=0)
+    return Model(table @ (out[:, 1] - out[:, 0]) * scale, float(bias[1] - bias[0]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -188,6 +189,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def taught(docs: DataFrame, sample: DataFrame, label: str) -> DataFrame:
+    """(doc_id, text, label) of a bounded ``sample`` (doc_id, label) of ids: one text an id, the least of several, none over MAX_BYTES."""
+    rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_BYTES)
+    rows = rows.join(F.broadcast(sample), "doc_id")  # as many ids as the sample's limit says
+    return rows.groupBy("doc_id", label).agg(F.min("text").alias("text")).select("doc_id", "text", label)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled ``docs`` that aren't held out.
 
@@ -206,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for k, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))
     ]
     sample = picked[0].union(picked[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").toArrow()  # at most MAX_TOXIC + MAX_CLEAN ids
+    rows = taught(docs, sample, "toxic").toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     ys = rows["toxic"].to_numpy()[order]
     share = {k: total.get(k, 0) / max(1, int((ys == k).sum())) for k in (0, 1)}
