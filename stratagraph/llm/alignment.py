@@ -37,7 +37,7 @@ from .scratch import written
 
 SALTS = 8
 PARTNERS = 256  # pairs that one copy of an earlier document serves
-HOLDERS = 512  # of a line that share a key where holders are ranked and tried
+HOLDERS = 256  # of a line that share a key where holders are ranked and tried
 GROWTH = 8  # of the number of holders tried, from round to round
 BLANK = 0  # the hash of a line without a word
 
