@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from stratagraph.functions import columns as C
 
+from .lineage import cut
+
 
 def _ancestors(name: Column) -> Column:
     """``a.b.c`` as [a.b.c, a.b, a]."""
@@ -125,6 +127,72 @@ def named_symbols(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.withColumn("symbol", F.coalesce("by_full", "by_label", "by_short")).drop("by_full", "by_label", "by_short")
 
 
+def resolved_constants(bound: DataFrame, depth: int = 8) -> DataFrame:
+    """(name, value): the texts that names stand for, from (name, parts), a JSON array of ["text", x], ["name", y] and ["env", v, default].
+
+    A name may be bound several times.  In a text of several pieces each name must have one value; a text that is one
+    name has all of that name's.  Names that need each other are left out; a round needs one more name known.
+    """
+    kinds = "array<array<string>>"
+    rows = bound.select("name", F.from_json("parts", kinds).alias("parts")).distinct().withColumn("id", F.xxhash64("name", F.to_json("parts")))
+    pieces = rows.select("id", "name", F.size("parts").alias("n"), F.posexplode("parts").alias("at", "part"))
+    kind = F.element_at("part", 1)
+    pieces = cut(pieces.select("id", "name", "n", "at", F.when(kind == "name", F.element_at("part", 2)).alias("needs"), F.when(kind == "text", F.element_at("part", 2)).when(kind == "env", F.element_at("part", 3)).alias("text")))
+    one = pieces.where("n = 1")
+    known = cut(one.where("needs IS NULL").select("name", F.col("text").alias("value")).distinct())
+    for _ in range(depth):
+        by_name = one.where("needs IS NOT NULL").join(known.withColumnRenamed("name", "needs"), "needs").select("name", "value")
+        single = known.groupBy(F.col("name").alias("needs")).agg(F.count("*").alias("values"), F.min("value").alias("value")).where("values = 1")
+        long = pieces.where("n > 1").join(single.select("needs", "value"), "needs", "left").withColumn("said", F.coalesce("text", "value"))
+        whole = long.groupBy("id", "name", "n").agg(F.count("said").alias("there"), F.array_sort(F.collect_list(F.struct("at", "said"))).alias("all")).where("there = n")
+        joined = whole.select("name", F.array_join(F.transform("all", lambda x: x["said"]), "").alias("value"))
+        fresh = cut(by_name.union(joined).distinct().join(known, ["name", "value"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        known = known.union(fresh)
+    return known
+
+
+def chained_aliases(configs: DataFrame, depth: int = 8) -> DataFrame:
+    """(config, pattern, replacement, base_url): the aliases of script configurations (config, extends or null, base_url, aliases map), inherited.
+
+    A configuration's own aliases replace all that it extends; so does its base.  A chain that comes back to itself ends.
+    """
+    rows = cut(configs.select("config", "extends", "base_url", "aliases"))
+    walk = rows.select("config", F.col("config").alias("at"), F.lit(0).alias("step"), F.array("config").alias("seen"))
+    found = [walk]
+    for d in range(1, depth + 1):
+        up = walk.join(rows.select(F.col("config").alias("at"), "extends"), "at").where("extends IS NOT NULL")
+        walk = cut(up.where(~F.array_contains("seen", F.col("extends"))).select("config", F.col("extends").alias("at"), F.lit(d).alias("step"), F.array_append("seen", F.col("extends")).alias("seen")))
+        if walk.isEmpty():
+            break
+        found.append(walk)
+    chain = reduce(DataFrame.union, found).join(rows.select(F.col("config").alias("at"), "base_url", "aliases"), "at")
+    first = lambda c: F.min_by(F.struct(F.col(c), F.col("at")), F.when(F.col(c).isNotNull(), F.col("step")))
+    top = chain.groupBy("config").agg(first("aliases").alias("a"), first("base_url").alias("b"))
+    return top.select("config", F.col("b.base_url").alias("base_url"), F.explode("a.aliases").alias("pattern", "replacement"))
+
+
+def delivered(rows: DataFrame) -> DataFrame:
+    """(domain, target): aliases of distributions, variables resolved in their folder, that lead to a bucket; from rows (name, relation, target)."""
+    of = lambda r: rows.where(F.col("relation") == r).select("name", F.col("target").alias("to")).distinct()
+    values = of("DEFAULTS_TO").select(F.col("name").alias("to"), F.col("to").alias("value"))
+    alias = of("HAS_ALIAS").join(values, "to", "left").select("name", F.when(F.contains("to", F.lit("|")), F.col("value")).otherwise(F.col("to")).alias("domain")).where("domain IS NOT NULL")
+    origin = of("HAS_ORIGIN").where(F.contains("to", F.lit("|aws_s3_bucket")) | F.contains("to", F.lit(".s3.")))
+    return alias.join(origin, "name").select("domain", F.col("to").alias("target")).distinct()
+
+
+def client_calls(calls: DataFrame, clients: DataFrame, imports: DataFrame) -> DataFrame:
+    """(path, endpoint): calls by a client's name as whole addresses: ``calls`` (path, client, method, route), ``clients`` (path, client, url), ``imports`` (path, resolved, name, alias).
+
+    A client is the file's own, or one that it imports by name.
+    """
+    own = calls.join(clients, ["path", "client"]).select("path", "method", "route", "url")
+    by = imports.join(clients.select(F.col("path").alias("resolved"), F.col("client").alias("name"), "url"), ["resolved", "name"]).select("path", F.col("alias").alias("client"), "url")
+    both = own.union(calls.join(by, ["path", "client"]).select("path", "method", "route", "url")).distinct()
+    return both.select("path", F.concat(F.col("method"), F.lit(" "), F.rtrim(F.col("url"), F.lit("/")), F.col("route")).alias("endpoint"))
+
+
 def linked_packages(dependencies: DataFrame, providers: DataFrame) -> DataFrame:
     """(package, consumers, providers, provider, bucket): packages against repositories that provide them.
 

@@ -602,4 +602,4 @@ def selected(rows: DataFrame) -> DataFrame:
     return met.join(need, "service").where("met = need").select("service", "target")
 
 
-from . import frameworks  # noqa: E402, F401  (adds its adapters, on the workers too)
+from . import frameworks, languages  # noqa: E402, F401  (they add their adapters, on the workers too)
