@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratagraph.functions import columns as C
+
+from .lineage import cut
+
 
 def with_ends(facts: DataFrame, entities: DataFrame, key: str, label: str) -> DataFrame:
     """Facts with the labels of both ends; a fact that lacks an end is dropped."""
@@ -72,26 +76,37 @@ MIN_SIMILARITY = 0.78
 MIN_LENGTH_RATIO = 0.35
 
 
-def possible_matches(left: DataFrame, right: DataFrame, key: str, segments: Column) -> DataFrame:
-    """(left_key, right_key, similarity): unmatched keys that are much alike, each used once, best first.
+def possible_matches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(left_key, right_key, similarity): unmatched keys that are much alike, each used once.
 
-    Keys meet by a shared segment (after ``segments`` of column ``key``), so only such pairs are scored; of a left key's
-    pairs the most similar counts, ties going to the larger right key, and a right key goes to its first left key.
+    Keys meet by a segment, versions apart, or by their first four letters, so only such pairs are scored.  Left keys
+    choose in their order: each the most similar right key that is left, of equally similar ones the larger.  That is the
+    one stable match if every right key prefers the smaller left key, so the choice runs in rounds: open left keys ask
+    their next right key, which keeps the smallest that asked.
     """
-    pieces = lambda df, into: df.select(F.col(key).alias(into), F.explode(F.array_distinct(segments)).alias("piece"))
-    pairs = pieces(left, "left_key").join(pieces(right, "right_key"), "piece").select("left_key", "right_key").distinct()
+
+    def pieces(df: DataFrame, into: str) -> DataFrame:
+        said = F.array_union(C.key_segments(key), F.array(F.concat(F.lit("^"), F.substring(key, 1, 4))))
+        return df.select(F.col(key).alias(into), F.explode(said).alias("piece")).distinct()
+
+    pairs = pieces(left, "left_key").join(pieces(right, "right_key"), "piece")
     n, m = F.char_length("left_key"), F.char_length("right_key")
-    pairs = pairs.where(F.least(n, m) / F.greatest(n, m) >= MIN_LENGTH_RATIO)
+    pairs = pairs.where(F.least(n, m) / F.greatest(n, m) >= MIN_LENGTH_RATIO).select("left_key", "right_key").distinct()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            same = [SequenceMatcher(None, a, b).ratio() for a, b in zip(df["left_key"], df["right_key"], strict=True)]
-            yield df.assign(similarity=same)
+            same = [round(SequenceMatcher(None, a, b).ratio(), 3) for a, b in zip(df["left_key"], df["right_key"], strict=True)]
+            yield df.assign(similarity=pd.Series(same, dtype="float64"))
 
     scored = pairs.mapInPandas(score, "left_key string, right_key string, similarity double").where(F.col("similarity") >= MIN_SIMILARITY)
-    best = scored.groupBy("left_key").agg(F.max(F.struct("similarity", "right_key")).alias("best")).select("left_key", "best.*")
-    first = best.groupBy("right_key").agg(F.min("left_key").alias("left_key"))
-    return best.join(first, ["left_key", "right_key"]).select("left_key", "right_key", "similarity")
+    rest = cut(scored)
+    while True:
+        asked = rest.groupBy("left_key").agg(F.max(F.struct("similarity", "right_key")).alias("best")).select("left_key", "best.*")
+        held = asked.groupBy("right_key").agg(F.min("left_key").alias("holder"))
+        refused = cut(asked.join(held, "right_key").where(F.col("left_key") != F.col("holder")).select("left_key", "right_key"))
+        if refused.isEmpty():
+            return asked.select("left_key", "right_key", "similarity")
+        rest = cut(rest.join(refused, ["left_key", "right_key"], "left_anti"))
 
 
 def drift(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

@@ -49,18 +49,24 @@ def impact_tiers(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def simple_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
-    """(path, steps): the ways of ``depth`` edges at most from a root to a target that visit no node twice."""
+def simple_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth: int, limit: int | None = None) -> DataFrame:
+    """(path, steps): the ways of ``depth`` edges at most from a root to a target that visit no node twice.
+
+    A walk only goes on to nodes that still reach a target in the steps that are left; shorter ways come first, so no
+    round follows the one that completes ``limit`` ways.
+    """
+    togo = cut(reach(backward(edges), targets, depth).select(F.col("node").alias("there"), F.col("depth").alias("togo")))
     walks = roots.select(F.array(F.col("node")).alias("path"))
-    found = []
+    found, n = [], 0
     for d in range(1, depth + 1):
-        walks = cut(
-            walks.join(edges, F.element_at("path", -1) == F.col("src"))
-            .where(~F.array_contains("path", F.col("dst")))
-            .select(F.array_append("path", F.col("dst")).alias("path"))
-            .distinct()
-        )
+        step = walks.join(edges, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        step = step.join(togo, step["dst"] == togo["there"]).where(F.col("togo") <= depth - d)
+        walks = cut(step.select(F.array_append("path", F.col("dst")).alias("path")).distinct())
         there = walks.join(targets, F.element_at("path", -1) == F.col("node"), "left_semi")
         found.append(there.withColumn("steps", F.lit(d)))
+        if limit is not None:
+            n += there.count()
+            if n >= limit:
+                break
         walks = walks.join(targets, F.element_at("path", -1) == F.col("node"), "left_anti")
     return reduce(DataFrame.union, found)

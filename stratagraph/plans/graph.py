@@ -268,7 +268,7 @@ class Graph:
                 return {"status": "not_found" if n == 0 else "ambiguous", "name": name}
             ends.append(found)
         edges = self._canonical(self._facts(*PATH_PREDICATES)).select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst")).distinct()
-        paths = traversal.simple_paths(edges, ends[0], ends[1], clamp(max_depth, MAX_DEPTH))
+        paths = traversal.simple_paths(edges, ends[0], ends[1], clamp(max_depth, MAX_DEPTH), clamp(limit, 25))
         named = paths.orderBy("steps", "path").limit(clamp(limit, 25)).withColumn("id", F.monotonically_increasing_id())
         labels = self.entities.select(F.col("entity_id").alias("node"), "label")
         rows = named.select("id", "steps", F.posexplode("path").alias("at", "node")).join(labels, "node")
@@ -346,7 +346,7 @@ class Graph:
         both = joins.reconciled(left, right, "key")
         counts = {r["side"]: r["n"] for r in both.groupBy("side").agg(F.count("*").alias("n")).collect()}
         only = {s: both.where(F.col("side") == f"{s}_only").select("key") for s in ("left", "right")}
-        fuzzy = joins.possible_matches(only["left"], only["right"], "key", F.transform(C.unversioned("key"), lambda s: F.substring(s, 1, 4)))
+        fuzzy = joins.possible_matches(only["left"], only["right"], "key")
         warnings = [f"{label} has no rows" for label, s in ((left_name, "left"), (right_name, "right")) if not (counts.get("matched", 0) + counts.get(f"{s}_only", 0))]
         sample = lambda side: [r["key"] for r in both.where(F.col("side") == side).orderBy("key").limit(clamp(limit)).collect()]
         return {

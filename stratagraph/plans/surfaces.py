@@ -95,8 +95,7 @@ def contract_right_only(spark, sf_dir):
 def contract_possible_matches(spark, sf_dir):
     both = _contract(spark, sf_dir)
     left, right = (both.where(F.col("side") == s).select("shape") for s in ("left_only", "right_only"))
-    pieces = F.transform(C.unversioned("shape"), lambda s: F.substring(s, 1, 4))
-    return joins.possible_matches(left, right, "shape", pieces)
+    return joins.possible_matches(left, right, "shape")
 
 
 def _hosts(spark, sf_dir):

@@ -32,7 +32,7 @@ def made(spark, tmp_path_factory):
     f("i1", "IMPORTS", "m1", "p1", category="third_party", import_root="requests"), f("i2", "IMPORTS", "m2", "p1", category="third_party"), f("i3", "IMPORTS", "m1", "p2", category="stdlib")
     f("i4", "IMPORTS", "m1", "m2", category="internal_module")
     e("s", "Service", tenant="t", slug="pay"), e("ep1", "Endpoint", repo="o/r", method="GET", host="_", path="/u/{id}"), e("ep2", "Endpoint", repo="o/c", method="GET", host="_", path="/v1/orders")
-    e("ep3", "Endpoint", repo="o/r", method="GET", host="_", path="/v2/orderz"), e("ch", "EventChannel", broker_kind="sqs", channel_address="jobs"), e("dom", "Domain", name="api.example.com")
+    e("ep3", "Endpoint", repo="o/r", method="GET", host="_", path="/v1/orderz"), e("ch", "EventChannel", broker_kind="sqs", channel_address="jobs"), e("dom", "Domain", name="api.example.com")
     e("env", "EnvVar", name="API_URL"), e("dt", "DeployTarget", type="wsgi", target="/srv/app.wsgi")
     f("x1", "EXPOSES_ENDPOINT", "s", "ep1"), f("x2", "DOCUMENTS_ENDPOINT", "s", "ep1"), f("x3", "DOCUMENTS_ENDPOINT", "s", "ep2"), f("x4", "EXPOSES_ENDPOINT", "s", "ep3")
     f("v1", "PRODUCES_EVENT", "s", "ch"), f("v2", "REFERENCES_EVENT_CHANNEL", "s", "ch"), f("d1", "REFERENCES_DOMAIN", "env", "dom"), f("d2", "REFERENCES_ENV_VAR", "m1", "env")
@@ -89,7 +89,7 @@ def test_surfaces(g):
     assert g.deploy_mappings("wsgi")["mappings"][0]["linkage"] == "known_linked"
     out = g.reconcile_endpoints()
     assert out["docs_backend"]["matched"] == ["/u/{}"] and out["docs_backend"]["docs_only"] == ["/v1/orders"] and out["docs_clients"]["warnings"] == ["clients has no rows"]
-    assert out["docs_backend"]["possible_matches"][0]["right_key"] == "/v2/orderz"
+    assert out["docs_backend"]["possible_matches"][0]["right_key"] == "/v1/orderz"
     brief = g.service_brief("pay")
     assert brief["counts"]["EXPOSES_ENDPOINT"] == 2 and len(brief["sections"]["PRODUCES_EVENT"]) == 1 and g.service_brief("none")["status"] == "not_found"
     assert g.summary()["entities"]["CodeSymbol"] == 7 and [x["coverage_id"] for x in g.coverage_gaps()["gaps"]] == ["c1"]

@@ -47,3 +47,30 @@ def test_script_imports(spark):
         spark.createDataFrame([("react-dom",), ("@o/p",)], "package string"),
     )
     assert {r.target: (r.category, r.resolved) for r in out.collect()} == wanted
+
+
+def test_possible_matches_against_the_plain_choice(spark):
+    """Left keys choose in their order, each the best that is left."""
+    import random
+    from difflib import SequenceMatcher
+
+    from stratagraph.operators import joins
+
+    random.seed(4)
+    words = ["user", "users", "order", "orders", "item", "items", "pay", "list"]
+    make = lambda: "/" + "/".join(random.choice([*words, "v1", "v2"]) + random.choice(["", "_id", "-x"]) for _ in range(random.randint(1, 4)))
+    left, right = sorted({make() for _ in range(60)}), sorted({make() for _ in range(60)})
+    right = [r for r in right if r not in left]
+    segments = lambda k: {s for s in k.replace("_", "/").replace("-", "/").split("/") if s and not (s[0] == "v" and s[1:].isdigit())}
+    used, want = set(), set()
+    for a in left:
+        near = [b for b in right if b not in used and min(len(a), len(b)) / max(len(a), len(b)) >= 0.35 and (segments(a) & segments(b) or a[:4] == b[:4])]
+        scored = [(round(SequenceMatcher(None, a, b).ratio(), 3), b) for b in near]
+        scored = [x for x in scored if x[0] >= 0.78]
+        if scored:
+            best = max(scored)
+            used.add(best[1])
+            want.add((a, best[1], best[0]))
+    one = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    got = {tuple(r) for r in joins.possible_matches(one(left), one(right), "key").collect()}
+    assert got == want and len(want) > 10
