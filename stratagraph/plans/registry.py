@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define QUERIES and, where SQL can express them, ORACLES.
-MODULES: tuple[str, ...] = ("symbols", "surfaces", "measures", "scalars", "snapshots", "fleet", "impacts", "leads", "extraction")
+MODULES: tuple[str, ...] = ("symbols", "surfaces", "measures", "scalars", "snapshots", "fleet", "impacts", "leads", "extraction", "resolution")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
