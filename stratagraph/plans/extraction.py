@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.sources import adapters
+from stratagraph.sources.files import language_coverage
 
 from .projections import table
 
@@ -57,6 +58,8 @@ CASES: dict[str, Case] = {
                       ("CodeSymbol", "'app.r' || k || ':f'", "CALLS_METHOD", "'D|go' || k", 4))),
     "ad_constants": ("python-constants", "'cfg/c' || k || '.py'", "'HOST = ''h' || k || '.example''~URL = HOST + ''/v1''~N = 3~'",
                      (("Constant", "'cfg.c' || k || '.HOST'", "BOUND_TO", "'[[\"text\", \"h' || k || '.example\"]]'", 1), ("Constant", "'cfg.c' || k || '.URL'", "BOUND_TO", "'[[\"name\", \"cfg.c' || k || '.HOST\"], [\"text\", \"/v1\"]]'", 2))),
+    "ad_builtins": ("python-builtins", "'h' || k || '.py'", "'def len(x): ...~def f(print):~    print(1)~    len(2)~    return sorted(max(' || k || ', 1))~class A:~    def g(self):~        return open(''x'')~'",
+                    (("ExternalSymbol", "'builtins.sorted'", "CALLS_BUILTIN", "'h' || k || ':f'", 5), ("ExternalSymbol", "'builtins.max'", "CALLS_BUILTIN", "'h' || k || ':f'", 5), ("ExternalSymbol", "'builtins.open'", "CALLS_BUILTIN", "'h' || k || ':A.g'", 8))),
     "ad_http_client": ("python-http-client", "'o' || k || '.py'", "'BASE = ''https://api.example.com''~requests.post(BASE + ''/pay/' || k || ''')~requests.get(where)~'",
                        (("Endpoint", "'POST https://api.example.com/pay/' || k", "CALLS_ENDPOINT", "path", 2),)),
     "ad_transport": ("python-boto3-transport", "'b' || k || '.py'", "'import boto3~sqs = boto3.client(''sqs'')~def run():~    sqs.send_message(QueueUrl=''https://sqs.eu.amazonaws.com/1/jobs' || k || ''')~    other.send_message(QueueUrl=''https://sqs.eu.amazonaws.com/1/no'')~    sqs.receive_message(QueueUrl=find())~'",
@@ -106,7 +109,16 @@ def adapter_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.coverage(adapters.extract(files(spark, sf_dir, "'c' || k || '.py'", text), ("python-constants", "python-ast")))
 
 
-QUERIES = {name: _query(case) for name, case in CASES.items()} | {"adapter_errors": adapter_errors}
+def language_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of five suffixes, two of them without an adapter and one of no known language."""
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("py", "ts", "go", "rs", "none")]), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "supplier").select(suffix.alias("suffix"))
+    return language_coverage(rows, {"python": "python-ast", "typescript": "typescript-text"})
+
+
+QUERIES = {name: _query(case) for name, case in CASES.items()} | {"adapter_errors": adapter_errors, "language_states": language_states}
 ORACLES = {name: _oracle(case) for name, case in CASES.items()} | {
+    "language_states": """SELECT language, adapter, CASE WHEN adapter IS NULL THEN 'uninstrumented' ELSE 'instrumented' END AS state, count(*) AS files FROM (
+SELECT ['python', 'typescript', 'go', 'rust'][s_suppkey % 5 + 1] AS language, ['python-ast', 'typescript-text', NULL, NULL][s_suppkey % 5 + 1] AS adapter FROM supplier WHERE s_suppkey % 5 < 4) GROUP BY 1, 2""",
     "adapter_errors": """SELECT adapter, state, count(*) AS files FROM (SELECT unnest(['python-constants', 'python-ast']) AS adapter, CASE WHEN s_suppkey % 3 = 0 THEN 'uninstrumented' ELSE 'instrumented' END AS state FROM supplier) GROUP BY 1, 2"""
 }

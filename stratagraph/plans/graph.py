@@ -48,6 +48,13 @@ def _label() -> Column:
     )
 
 
+def aggregation_label() -> Column:
+    """What the aggregations call an entity: as above but for endpoints, deploy targets and variables, which go by name, slug or the whole identity."""
+    i = F.col("identity")
+    plain = F.coalesce(F.nullif(i["name"], F.lit("")), F.nullif(i["slug"], F.lit("")), C.canonical_json("identity"))
+    return F.when(F.col("kind").isin("CodeSymbol", "CodeModule", "ExternalSymbol", "EventChannel"), _label()).otherwise(plain)
+
+
 class Graph:
     def __init__(self, tables: dict[str, DataFrame]):
         self.tables = tables

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.sources.snapshot import SCHEMAS
 
-from .graph import Graph, listed
+from .graph import Graph, aggregation_label, listed
 from .projections import CALLS, calls, table
 
 NAMES = ("part", "supplier", "customer", "nation", "region", "labels")
@@ -119,7 +119,14 @@ ONE, MANY = "pkg4.m4.C4", "f14"
 FILE = "src/pkg4/m4.py"
 CALLED = "fact_id string, subject_label string, object_label string"
 
+def g_aggregation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that differ between answers and aggregations."""
+    rows = Graph(snapshot(spark, sf_dir)).entities.withColumn("counted_as", aggregation_label())
+    return rows.where("label <> counted_as").select("entity_id", "label", "counted_as")
+
+
 QUERIES = {
+    "g_aggregation_labels": g_aggregation_labels,
     "g_lookup_symbol": _asked("tier string, match_count long, label string, path string, line_start int", lambda g: [r | a for a in [g.lookup_symbol("C4", limit=50)] for r in a["matches"]]),
     "g_lookup_fuzzy": _asked("tier string, match_count long, label string, path string, line_start int", lambda g: [r | a for a in [g.lookup_symbol("m4.c4", limit=50)] for r in a["matches"]]),
     "g_lookup_at_line": _asked("label string, line_start int, line_end int", lambda g: g.lookup_symbol("__init__", path="./" + FILE, line=45, limit=50)["matches"]),
@@ -176,6 +183,8 @@ _SHAPE = "regexp_replace(path, '/:[^/]+', '/{}', 'g')"
 _MATCHED = "SELECT '{t}' AS tier, count(*) OVER () AS match_count, label, file AS path, line_start FROM syms WHERE {w} ORDER BY file, line_start, label LIMIT 50"
 
 ORACLES = {
+    "g_aggregation_labels": f"""{SNAP}, a AS (SELECT entity_id, label, CASE kind WHEN 'Endpoint' THEN '{{"host":"_","method":"' || method || '","path":"' || path || '","repo":"' || repo || '","tenant":"t"}}'
+WHEN 'DeployTarget' THEN '{{"target":"' || target || '","tenant":"t","type":"' || type || '"}}' ELSE label END AS counted_as FROM ents) SELECT * FROM a WHERE label <> counted_as""",
     "g_lookup_symbol": f"{SNAP} {_MATCHED.format(t='exact_name', w="split_part(qualname, '.', -1) = 'C4'")}",
     "g_lookup_fuzzy": f"{SNAP} {_MATCHED.format(t='fuzzy', w="contains(lower(label), 'm4.c4')")}",
     "g_lookup_at_line": f"{SNAP} SELECT label, line_start, line_end FROM syms WHERE split_part(qualname, '.', -1) = '__init__' AND file = '{FILE}' AND 45 BETWEEN line_start AND line_end ORDER BY file, line_start, label LIMIT 50",

@@ -64,6 +64,14 @@ def unsupported(files: DataFrame, supported: tuple[str, ...]) -> DataFrame:
     return rows.groupBy("language").agg(F.count("*").alias("file_count"), F.slice(F.array_sort(F.collect_set("path")), 1, 5).alias("sample_paths"))
 
 
+def language_coverage(files: DataFrame, handled: dict[str, str]) -> DataFrame:
+    """(language, adapter, state, files): languages that are there, by the adapter that reads each; uninstrumented without one."""
+    names = F.create_map(*[F.lit(x) for pair in handled.items() for x in pair]) if handled else F.create_map().cast("map<string,string>")
+    rows = with_language(files).where(F.col("language").isNotNull()).groupBy("language").agg(F.count("*").alias("files"))
+    adapter = names[F.col("language")]
+    return rows.select("language", adapter.alias("adapter"), F.when(adapter.isNull(), "uninstrumented").otherwise("instrumented").alias("state"), "files")
+
+
 def config_files(files: DataFrame, suffixes: tuple[str, ...], names: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(path, text) of the configuration files, and (path, reason) of those over the size limit."""
     chosen = files.where((F.col("suffix").isin(*suffixes) | F.col("name").isin(*names)) & ~F.col("name").isin(*LOCKFILES))

@@ -6,6 +6,7 @@ Without a parser for a language its text is read by tokens, with comments and st
 from __future__ import annotations
 
 import ast
+import builtins
 import json
 import re
 from collections.abc import Iterator
@@ -13,7 +14,47 @@ from collections.abc import Iterator
 from .adapters import Row, adapter, numbered
 from .frameworks import Names, dotted, module_of
 
-# Python: constants that other modules may use
+# Python: calls of what the language brings along, and constants that other modules may use
+
+_BUILTINS = {n for n in dir(builtins) if not n.startswith("_")}
+
+
+@adapter("python-builtins", "*.py", "CALLS_BUILTIN")
+def builtin_calls(path: str, text: str) -> Iterator[Row]:
+    """Calls of built-in names that neither the module nor a function around the call binds."""
+    tree, module = ast.parse(text), module_of(path)
+
+    def bound(node: ast.AST) -> set[str]:
+        """Names that a scope binds, functions and classes inside it by their names alone."""
+        out, todo = set(), list(ast.iter_child_nodes(node))
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.Lambda):
+            out |= {a.arg for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs, *(x for x in (node.args.vararg, node.args.kwarg) if x))}
+        while todo:
+            n = todo.pop()
+            if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+                out.add(n.name)
+                continue
+            if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store):
+                out.add(n.id)
+            elif isinstance(n, ast.Import | ast.ImportFrom):
+                out |= {a.asname or a.name.split(".")[0] for a in n.names}
+            todo += ast.iter_child_nodes(n)
+        return out
+
+    def visit(node: ast.AST, scope: str, known: set[str]) -> Iterator[Row]:
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+                inner = known if isinstance(child, ast.ClassDef) else known | bound(child)
+                yield from visit(child, f"{scope}.{child.name}".lstrip("."), inner)
+                continue
+            if isinstance(child, ast.Call) and isinstance(child.func, ast.Name) and child.func.id in _BUILTINS - known:
+                yield "ExternalSymbol", f"builtins.{child.func.id}", "CALLS_BUILTIN", f"{module}:{scope}", child.lineno
+            yield from visit(child, scope, known)
+
+    yield from visit(tree, "", bound(tree))
+
+
+# Constants
 
 
 def _parts(node: ast.AST | None, names: Names) -> list[list[str]] | None:

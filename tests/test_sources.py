@@ -73,7 +73,7 @@ def test_tree(spark, tmp_path):
     assert not {g for g in got if g[1] in ("no.example.com", "open.example.com", "POST /shop.v1.Cart/No", "-r")}
     assert {(r.path, r.error.split(":")[0]) for r in rows.where("error IS NOT NULL").collect()} == {("app/broken.py", "SyntaxError")}
     assert {tuple(r) for r in adapters.selected(rows).collect()} == {("default/web", "default/web")}
-    assert adapters.coverage(rows).where("state = 'uninstrumented'").count() == 8  # each adapter of Python files
+    assert adapters.coverage(rows).where("state = 'uninstrumented'").count() == 9  # each adapter of Python files
     used = rows.where("relation = 'IMPORTS'").select("path", "target")
     refused = adapters.refused_stacks(used, {"requests": "requests", "boto3": "boto3", "flask": "flask"}, ("requests",))
     assert [tuple(r) for r in refused.collect()] == [("boto3", 1, "no_adapter_for_known_stack")]
