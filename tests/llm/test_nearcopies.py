@@ -54,6 +54,24 @@ def test_components_against_brute_force(spark):
     assert len(set(got) ^ set(want)) <= 0.01 * len(rows)  # what the index and the estimate may miss
 
 
+def test_large_groups_against_brute_force(spark, monkeypatch):
+    """Groups far over a block, with texts between them that belong to one, to both or to none."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for g in range(2):
+        text = base[: 300 - 45 * g] + [f"g{g}x{i}" for i in range(45 * g)]
+        for _ in range(40):
+            copy = list(text)
+            for _ in range(int(rng.integers(0, 8))):
+                copy[int(rng.integers(0, len(copy)))] = f"o{int(rng.integers(10**6))}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + i, " ".join(rng.choice(base, 200))) for i in range(20)]
+    monkeypatch.setattr(nc, "BLOCK", 6)
+    got = sorted(r.doc_id for r in nc.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain(rows) and len(got) < 30
+
+
 def test_documents_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -120,3 +138,17 @@ def test_true_link_that_the_forest_displaces(spark, monkeypatch):
     rows = next(r for r in map(trio, range(5000)) if displaced(r))
     assert plain(rows) == [0] and plain([rows[0], rows[2]]) == [0, 2]
     assert [r.doc_id for r in nc.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+def test_index_and_estimate_at_the_limit():
+    """Sets of 400 shared and 50 + 50 other shingles, similarity exactly 0.8: most pairs meet and are estimated near it."""
+    rng = np.random.default_rng(12)
+    met = 0
+    for _ in range(300):
+        both, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (400, 50, 50))
+        fp = [np.frombuffer(nc.fingerprint(np.unique(np.concatenate([both, x]))), np.uint64) for x in (a, b)]
+        same = fp[0].view(np.uint8) == fp[1].view(np.uint8)
+        listed = any(same[p] and same[q] for p, q in nc.PAIRS)
+        head = [f[: nc.INDEX_BYTES // 8] for f in fp]
+        met += listed and bool(nc.loosely(head[0], head[1][None])[0]) and nc.similarity(fp[0], 450, fp[1][None], np.array([450]))[0] >= nc.SIMILAR - nc.MARGIN
+    assert met >= 0.97 * 300
