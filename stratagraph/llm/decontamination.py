@@ -28,7 +28,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import islice, repeat
 
 import numpy as np
@@ -490,11 +489,16 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     out = docs.drop(*[c for c in docs.columns if c.lower() == into.lower()]).withColumn(into, F.array().cast(kind))
     (tokens,) = free(out, "__tokens")
     rows = ((r[0], r[1]) for r in benchmark.select(F.col(item_id).cast("long"), "text").toLocalIterator())
-    blocks = iter(lambda: list(islice(rows, BLOCK_ITEMS)), [])
-    blocks = [b for b in map(read_items, blocks) if b.ids]
-    last = len(blocks) - 1
-    out = reduce(lambda df, b: _block_hits(df, text, tokens, b[1], into, keep_text or b[0] < last), enumerate(blocks), out)
-    return out if keep_text or blocks else out.drop(text)
+    found = (read_items(b) for b in iter(lambda: list(islice(rows, BLOCK_ITEMS)), []))
+    found = (b for b in found if b.ids)
+    block = next(found, None)
+    if block is None:
+        return out if keep_text else out.drop(text)
+    while block is not None:  # the driver holds two blocks at most
+        after = next(found, None)
+        out = _block_hits(out, text, tokens, block, into, keep_text or after is not None)
+        block = after
+    return out
 
 
 def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

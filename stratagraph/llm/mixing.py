@@ -32,7 +32,7 @@ from .scratch import written
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.85, 0.12, 0.03)  # shares of all tokens
-MAX_LABELLED = 6000
+MAX_LABELLED = 4000
 CLOSE = 1e-6  # of all tokens
 SOFT = 1e-10  # weight of the dual's square; targets out of reach are met as nearly as can be
 LENGTHS = 0.5 ** np.arange(16)  # of a step, tried in one pass

@@ -91,3 +91,41 @@ def test_alignment_of_many_against_one_by_one():
                 for s in range(0, max(len(said) - d.STRIDE, min(len(said), 1)), d.STRIDE):
                     enough = d.common(t, d.window(said, s, len(t)).tolist()) >= d.LIKELY * len(t)
                     assert not enough or (x, s, o) in found
+
+
+def test_recall_of_paraphrases_by_rate_of_changed_words(spark):
+    """Items in other text, with a share of the words before the answer replaced; clean text beside them."""
+    rng = np.random.default_rng(14)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    items = [" ".join(word() for _ in range(30)) + ". " + " ".join(word() for _ in range(6)) + "." for _ in range(60)]
+    filler = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for rate in (0.0, 0.1, 0.2, 0.3, 0.4):
+        for k, item in enumerate(items):
+            said = item.split()
+            for i in rng.choice(30, int(30 * rate), replace=False):
+                said[i] = word()
+            want[len(rows)] = (k, rate)
+            rows.append((len(rows), f"{filler(int(rng.integers(0, 150)))} {' '.join(said)} {filler(int(rng.integers(0, 150)))}"))
+    clean = range(len(rows), len(rows) + 200)
+    rows += [(i, filler(150)) for i in clean]
+    out = d.with_hits(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {r.doc_id: {h.item_id for h in r.hits} for r in out.collect()}
+    assert not any(got[i] for i in clean)
+    recall = {rate: np.mean([k in got[i] for i, (k, r) in want.items() if r == rate]) for rate in (0.0, 0.1, 0.2, 0.3, 0.4)}
+    print("recall by rate of changed words:", recall)
+    assert recall[0.0] == 1.0 and min(recall.values()) >= 0.9
+
+
+def test_ties_between_passages_and_blocks_of_items(spark, monkeypatch):
+    """A text holds an item twice, two items are equal, and rows are repeated; the benchmark comes in several blocks."""
+    rng = np.random.default_rng(15)
+    item = " ".join("".join(rng.choice(list("klmnopqr"), 6)) for _ in range(30)) + "."
+    docs = [(1, f"{item} {item}"), (1, f"{item} {item}"), (2, item), *((i, " ".join(rng.choice(["x", "y", "z"], 80))) for i in range(3, 40))]
+    bench = [(5, item), (6, item), (7, None), (8, "other words that nobody holds at all in this corpus. never.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for size in (4000, 1):
+        monkeypatch.setattr(d, "BLOCK_ITEMS", size)
+        rows = d.with_hits(df, spark.createDataFrame(bench, "item_id long, text string")).collect()
+        assert sorted((r.doc_id, sorted(h.item_id for h in r.hits)) for r in rows if r.hits) == [(1, [5, 6]), (1, [5, 6]), (2, [5, 6])]
+        assert len(rows) == len(docs)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -68,3 +69,20 @@ def test_empty_nulls_repeats_and_other_columns(spark, tmp_path):
         out = corpus_pipeline.run(spark, f"{tmp_path}/{k}")
         assert set(out.columns) >= {"doc_id", "text", "hits", "rate", "shard", "slot"}
         assert (out.count() == 0) == (k == 1)
+
+
+def test_very_long_texts_and_ties(spark, tmp_path):
+    """A long text, and copies under equal ids, go through every stage once."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40_000)]
+    long = " ".join(rng.permutation(words))
+    other = " ".join(rng.permutation(words)[:300])
+    rows = [(1, long), (2, long), (2, other), (2, other), (3, other + " end")]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality(spark, docs, str(tmp_path)), str(tmp_path))
+    assert sorted((r.doc_id, len(r.text)) for r in kept.collect()) == [(1, len(long)), (2, len(other))]
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r.doc_id for r in out.select("doc_id").collect()} <= {1, 2}
