@@ -10,8 +10,10 @@ under 5 are dropped, and the rest is verified by counting differing bits.
 
 Equal fingerprints are one entry.  A list yields a spanning forest of its links,
 never all pairs: a fingerprint that is linked already only looks for those that
-are not.  Lists over ``BLOCK`` entries are dealt out by pairs of blocks, each
-handled by one task, so no task holds more than two blocks of a list.
+are not.  A list over ``BLOCK`` entries is first linked by blocks, which leaves a
+large group as one component; that component is then dealt out once, and only the
+other entries meet all of its blocks, and each other by pairs of blocks.  No task
+holds more than two blocks of a list.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from .scratch import written
 MAX_BITS = 3
 MIN_SHARED = 8 - MAX_BITS
 BLOCK = 2048
+MAX_BROADCAST = 100_000  # long lists, of a few numbers each; more are joined by an exchange
 SEED = 42
 #: The quadruples of 0..7 whose numbers xor to 0: any 3 positions lie in just one.
 POSITIONS = tuple(q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0)
@@ -59,7 +62,8 @@ def fingerprint(text: str | None, width: int) -> int:
 
 
 def with_fingerprint(df: DataFrame, text: str, width: int, into: str) -> DataFrame:
-    """``df`` with the fingerprint as a signed long; a null or empty text has 0."""
+    """``df`` with the fingerprint as a signed long; a null or empty text has 0.  A column already named ``into`` is replaced."""
+    df = df.drop(*[c for c in df.columns if c.lower() == into.lower()])
     out = T.StructType([*df.schema.fields, T.StructField(into, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,21 +140,30 @@ def links(fps: DataFrame) -> DataFrame:
             key = key.bitwiseOR(F.shiftleft(byte(p), 8 * n))
         keys.append(key)
     entries = fps.select("fp", F.explode(F.array(*keys)).alias("list"))
-    sizes = entries.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = (
-        entries.join(sizes, "list")
-        .withColumn("blocks", n_blocks)
-        .withColumn("own", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    )
-    return (
-        dealt.repartition("list", "i", "j")
-        .sortWithinPartitions("list", "i", "j")
-        .mapInArrow(_runs, "a long, b long")
-    )
+    hot = written(entries.groupBy("list").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "hot")
+    n_hot = hot.count()
+    met = lambda cells: cells.select("list", "i", "j", "fp").repartition("list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_runs, "a long, b long")
+    if not n_hot:
+        return met(entries.select("list", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp"))
+    few = lambda df: F.broadcast(df) if n_hot <= MAX_BROADCAST else df.hint("merge")
+    block = lambda of: F.pmod(F.xxhash64("fp", "list"), F.ceil(F.col(of) / BLOCK)).cast("int")
+    each = lambda of: F.sequence(F.lit(0), F.ceil(F.col(of) / BLOCK).cast("int") - 1)
+    cold = entries.join(few(hot), "list", "left_anti").select("list", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+    in_hot = entries.join(few(hot), "list")
+    found = written(met(in_hot.select("list", block("size").alias("i"), F.lit(0).alias("j"), "fp")), "found")
+    roots = components(found).withColumnRenamed("node", "fp")
+    rooted = written(in_hot.drop("size").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    counts = rooted.groupBy("list", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("list").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    main = written(main.select("list", F.col("top.root").alias("main"), F.col("top.n").alias("mains"), (F.col("all") - F.col("top.n")).alias("others")), "main")
+    rooted = rooted.join(few(main), "list").where("others > 0")
+    is_main = F.col("root") == F.col("main")
+    once = rooted.where(is_main).select("list", block("mains").alias("i"), F.explode(each("others")).alias("j"), "fp")
+    rest = rooted.where(~is_main).withColumn("own", block("others"))
+    with_main = rest.select("list", F.explode(each("mains")).alias("i"), F.col("own").alias("j"), "fp")
+    apart = rest.withColumn("other", F.explode(each("others"))).select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    cells = once.unionByName(with_main).withColumn("i", -F.col("i") - 1).unionByName(apart)
+    return met(cold.unionByName(cells)).unionByName(found)
 
 
 def near_duplicates(df: DataFrame, fp: str, doc_id: str) -> DataFrame:

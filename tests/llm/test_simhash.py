@@ -85,3 +85,9 @@ def test_null_ids_repeats_and_empty(spark, tmp_path):
     got = simhash.op3_simhash_bytes(spark, f"{tmp_path}/0").collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.fingerprint == "0" * 16) for r in got) == [(0, 0, False)] * 3 + [(7, 7, True)] * 2
     assert simhash.op3_simhash_bytes(spark, f"{tmp_path}/1").count() == 0
+
+
+def test_clashing_columns_are_replaced(spark):
+    df = spark.createDataFrame([(1, "a b c d", "x")], "doc_id long, text string, FP string")
+    out = simhash.with_fingerprint(df, "text", 3, "fp")
+    assert out.columns == ["doc_id", "text", "fp"] and out.first().fp == np.uint64(plain("a b c d", 3)).view(np.int64)
