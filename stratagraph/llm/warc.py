@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .scratch import new_path, written
 
 ARC_BYTES = 4 << 20
+SALTS = 8
+FILE_RECORDS = 10_000  # of one WARC file, which a task reads whole
 MIN_REVISIT_BYTES = 0
 DATE = "20200101000000"
 END = "\r\n\r\n"
@@ -175,12 +177,14 @@ def with_revisits(records: DataFrame) -> DataFrame:
     Of equal payloads of MIN_REVISIT_BYTES and more, the record with the smallest page_id is the response; a null id
     is larger than others, and equal ids go by record_id.
     """
-    slim = records.where(F.octet_length("payload") >= MIN_REVISIT_BYTES)
+    slim = records.where(F.octet_length("payload") >= MIN_REVISIT_BYTES).select("record_id", "page_id", "payload_digest")
+    slim = written(slim.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")), "digests")
     first = F.min(F.struct(F.col("page_id").isNull(), "page_id", "record_id"))["record_id"]
-    groups = slim.groupBy("payload_digest").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return records.join(groups, "payload_digest", "left").withColumn(
-        "refers_to", F.when(F.col("first") != F.col("record_id"), F.col("first"))
-    ).drop("first")
+    groups = slim.groupBy("payload_digest").agg(first.alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a payload that many records have is dealt by salt; payloads themselves are only exchanged by record_id
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    later = slim.join(salted.hint("merge"), ["payload_digest", "salt"]).where(F.col("refers_to") != F.col("record_id"))
+    return records.join(later.select("record_id", "refers_to").hint("merge"), "record_id", "left")
 
 
 def warc_record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -202,7 +206,7 @@ def _warc(page_id, record_id, kind, date, url, ip, head, payload, payload_digest
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Write gzipped WARC files into ``path``, one a task, each with a warcinfo record first."""
+    """Write gzipped WARC files into ``path``, of FILE_RECORDS records at most; a task's first begins with a warcinfo record."""
     names = [f.name for f in _RECORD] + ["refers_to"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +221,7 @@ def write_warc(records: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     made = records.select(*names).mapInArrow(run, "value binary")
-    made.select(F.col("value").cast("string")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    made.select(F.col("value").cast("string")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -45,3 +45,11 @@ def test_round_trip_with_nulls_ties_and_long_texts(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert warc.op6_arc_to_warc(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_files_by_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", 3)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i % 4}</p>", "x") for i in range(10)], "page_id long, url string, html string, arc string").coalesce(1)
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    rows = {r.page_id: r for r in warc.op6_arc_to_warc(spark, str(tmp_path)).collect()}
+    assert len(rows) == 10 and [rows[i].refers_to for i in range(10)] == [None, None, None, None, 0, 1, 2, 3, 0, 1]
