@@ -28,6 +28,7 @@ OPAQUE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your_|xxxx|0000000|1234567"
 KINDS = ("assign", "access", "hex", "opaque", "owned")
 MIN_ASSIGN = 12  # characters of the value
+SALTS = 8
 MAX_OWNERS = 1  # a value with more is a copied example
 
 
@@ -97,7 +98,10 @@ def secrets(df: DataFrame, text: Column, repository: Column, owner: Column, keep
         .groupBy("hash")
         .agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.max("dummy").alias("dummy"))
     )
-    judged = spans.join(holders, "hash").select(
+    # a value that many rows hold is dealt by salt: its one row of ``holders`` is repeated
+    salted = holders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = spans.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+    judged = dealt.join(salted.hint("merge"), ["hash", "salt"]).select(
         "rid",
         F.struct(F.col("value_start").alias("start"), F.lit(4).alias("kind"), "end").alias("span"),
         ((F.col("owners") <= MAX_OWNERS) & ~F.col("dummy")).alias("owned"),

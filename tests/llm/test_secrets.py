@@ -40,3 +40,12 @@ def test_repeated_rows_clashing_names_and_empty(spark):
     out = secrets(df, F.col("text"), F.col("repo"), F.col("repo"), {"rid": F.col("rid"), "id": F.col("id")})
     assert [(r.rid, r.n_assign, r.n_owned) for r in out.collect()] == [("x", 1, 1)] * 3
     assert secrets(df.where("false"), F.col("text"), F.col("repo"), F.col("repo"), {"id": F.col("id")}).count() == 0
+
+
+def test_long_texts_and_values_that_many_rows_hold(spark):
+    long = "lorem ipsum " * 100_000
+    rows = [(i, f"token={KEY}", f"o{i}/r") for i in range(300)] + [(300, f"{long}token={KEY[::-1]} {long}", "o/r")]
+    got = found(spark.createDataFrame(rows, "id long, text string, repo string"))
+    assert all(got[i].all == "assign:0:22" and got[i].most_repositories == 300 for i in range(300))
+    at = len(long)
+    assert got[300].all == f"assign:{at}:{at + 22},owned:{at + 6}:{at + 22}"
