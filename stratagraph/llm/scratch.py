@@ -30,8 +30,10 @@ def scope(name: str) -> Iterator[None]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set to a fresh local one where unset."""
+    """The session's checkpoint folder; set to a fresh local one where a local session has none."""
     there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     if not there:
         there = "file://" + tempfile.mkdtemp(prefix="stratagraph-")
         spark.conf.set("spark.checkpoint.dir", there)

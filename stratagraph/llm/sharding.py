@@ -105,7 +105,7 @@ N_SHARDS = 40
 
 
 def op7_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, in the order of doc_id, in 40 shards of near equal bytes."""
+    """All documents, in the order of doc_id, in 40 shards of near equal bytes; rows of equal texts aren't kept together."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce("text", F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))

@@ -285,7 +285,11 @@ def _unzipped(data: bytes) -> bytes:
 
 
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page, by way of ARC files, written to WARC files and read back from them."""
+    """Each page, by way of ARC files, written to WARC files and read back from them.
+
+    Null html is an empty payload; repeated rows are records of their own, the first by record_id the response; other
+    columns aren't read, whatever their names.  An empty table gives an empty result.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = new_path(spark, "warc")
     write_warc(with_revisits(from_arc(as_arc(pages))), path)
