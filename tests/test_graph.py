@@ -68,6 +68,23 @@ def test_symbols(g):
     assert [s["label"] for s in review["symbols"]] == ["app.C", "app.a"] and {c["label"] for c in review["callers"]} == {"app.d", "app.z", "app.b"} - {"app.a"}
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_a_limit_cuts_ties_in_the_snapshots_order(spark, parts):
+    """Symbols of one file, line and label, and facts of one ordinal, whatever the order of the rows that hold them."""
+    same = {"tenant": "t", "repo": "r", "module": "m", "qualname": "f", "symbol_kind": "function"}
+    rows = {
+        "entities": [(k, f"s{k}", f"u{k}", "CodeSymbol", same, {}, None) for k in range(40)],
+        "facts": [(k // 20, f"f{k}", "CALLS", f"s{39 - k}", f"s{k}", {}, None) for k in range(40)],
+        "support_facts": [],
+        "evidence": [(k, f"e{k}", "entity", f"s{k}", "deterministic_static", "py", {}, ("r", "c", "m.py", 1, 9), None, None) for k in range(40)],
+        "coverage": [],
+    }
+    g = graph.Graph({n: spark.createDataFrame(r[::-1], snapshot.SCHEMAS[n]).repartition(parts) for n, r in rows.items()})
+    assert [m["entity_id"] for m in g.lookup_symbol("m.f", limit=7)["matches"]] == [f"s{k}" for k in range(7)]
+    assert [r["fact_id"] for r in g.find_callers("m.f", include_all=True, limit=15)["rows"]] == sorted(f"f{k}" for k in range(15))
+    assert [r["fact_id"] for r in g.find_callees("m.f", include_all=True, limit=25)["rows"]] == [*sorted(f"f{k}" for k in range(15, 20)), *sorted(f"f{k}" for k in range(20, 40))]
+
+
 def test_imports(g):
     assert [r["subject_label"] for r in g.modules_importing("requests")["modules"]] == ["app.x", "app.y"]
     assert g.who_imports("requests", 1)["rows"] == [{"prefix": "app", "n": 2}]
