@@ -8,7 +8,7 @@ import numpy as np
 def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranks by ``keys`` (a rank is the number of smaller keys), and the places whose rank is shared."""
     n = len(keys)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     sorted_ = keys[order]
     change = np.ones(n, bool)
     change[1:] = sorted_[1:] != sorted_[:-1]
@@ -26,7 +26,7 @@ def refine(rank: np.ndarray, step: int, todo: np.ndarray) -> tuple[np.ndarray, n
     n = len(rank)
     after = todo + step
     second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-    order = np.argsort(rank[todo] * (n + 1) + second, kind="stable")
+    order = np.argsort(rank[todo] * (n + 1) + second)
     at, first, second = todo[order], rank[todo][order], second[order]
     new_group = np.ones(len(at), bool)
     new_group[1:] = first[1:] != first[:-1]
