@@ -9,13 +9,15 @@ which Newton's method finds: a pass sums the totals and the Gram matrix of the
 documents with positive rates for several lengths of a step, so nothing is
 written between steps and a lost task only repeats its rows.
 
-Bound: at most ``MAX_LABELLED`` labelled ids train the classifier, on the driver,
-each by one text of ``toxicity.MAX_BYTES`` at most.  Tokens and posteriors are computed in one pass and written; the steps
+Bound: at most ``MAX_LABELLED`` labelled ids train the classifier, in one task on an
+executor, each by one text of ``toxicity.MAX_BYTES`` at most; the driver gets the
+model alone, a number a bucket.  Tokens and posteriors are computed in one pass and written; the steps
 read those few numbers a document, and the driver gets one vector a task.
 """
 
 from __future__ import annotations
 
+import pickle
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -69,9 +71,17 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> Classifier:
     )
     domain = F.when(F.col("toxic") > 0, 2).when(F.col("quality") > 0, 0).otherwise(1)
     sample = known.select("doc_id", domain.alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    rows = toxicity.taught(docs, sample, "domain").toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    return train(rows["text"].take(pa.array(order)).to_pylist(), rows["domain"].to_numpy()[order].tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(batches):
+            rows = pa.Table.from_batches(held)
+            order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+            model = train(rows["text"].take(pa.array(order)).to_pylist(), rows["domain"].to_numpy()[order].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = toxicity.taught(docs, sample, "domain").repartition(1).mapInArrow(run, "model binary")  # as many rows as the sample's limit says
+    found = written(made, "model").collect()
+    return pickle.loads(found[0]["model"]) if found else train([], [])
 
 
 def with_posteriors(df: DataFrame, model: Classifier, text: str, n_tokens: str, posterior: str) -> DataFrame:

@@ -372,8 +372,8 @@ def similar(nodes: DataFrame, rows: DataFrame, text: str, rid: str, width: int)
     open_ = near.where(F.col("alike") < SIMILAR + MARGIN).join(ends[0], "a", "left").join(ends[1], "b", "left")
     open_ = written(open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "open")
     sets = lambda wanted: said_by(wanted, rows, text, rid, width)
-    held = sure.union(written(checked(open_, sets), "held"))
-    return components(held.union(open_links(listed, components(held), sets)))
+    held = components(known.toDF("a", "b").union(written(checked(open_, sets), "held")))  # a component's star stands for its links
+    return components(held.toDF("a", "b").union(open_links(listed, held, sets)))
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5) -> DataFrame:

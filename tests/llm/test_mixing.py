@@ -1,3 +1,4 @@
+import os
 import warnings
 
 import numpy as np
@@ -55,3 +56,17 @@ def test_targets_are_met_when_rates_are_cut_at_zero(spark):
     rows = spark.createDataFrame([(10, [0.5, 0.3, 0.2]), (10, [0.4, 0.3, 0.3])], "n_tokens long, posterior array<double>")
     with pytest.warns(UserWarning, match="off by"):
         assert np.isfinite(mixing.fit_rates(rows, mixing.TARGETS)).all()
+
+
+def test_the_driver_gets_the_model_alone(spark, monkeypatch):
+    """The classifier is trained in another process, on the rows in the order of their ids, and equals one trained here."""
+    texts = {k: ("bad worse worst " if k % 3 == 2 else "fine good better ") * (1 + k % 5) + "x" * (k % 3) for k in range(30)}
+    docs = spark.createDataFrame([(k, texts[k]) for k in sorted(texts, key=lambda k: k * 7 % 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), int(k % 3 == 2)) for k in texts], "doc_id long, quality int, toxic int")
+    want = mixing.train([texts[k] for k in range(30)], [k % 3 for k in range(30)])
+    got = mixing.fit_domains(docs, labels)
+    for a, b in ((got.toxic, want.toxic), (got.poor, want.poor)):
+        assert np.array_equal(a.value, b.value) and a.bias == b.bias
+    monkeypatch.setattr(mixing, "train", lambda texts, domain: (os.getpid(), texts, domain))
+    assert mixing.fit_domains(docs, labels)[0] != os.getpid()
+    assert mixing.fit_domains(docs, labels)[1:] == ([texts[k] for k in range(30)], [k % 3 for k in range(30)])
