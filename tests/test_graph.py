@@ -85,6 +85,24 @@ def test_a_limit_cuts_ties_in_the_snapshots_order(spark, parts):
     assert [r["fact_id"] for r in g.find_callees("m.f", include_all=True, limit=25)["rows"]] == [*sorted(f"f{k}" for k in range(15, 20)), *sorted(f"f{k}" for k in range(20, 40))]
 
 
+def test_every_match_is_a_target_beyond_the_limit(spark):
+    """600 symbols of one name, of which the last, in order of file, is called first."""
+    same = {"tenant": "t", "repo": "r", "module": "m", "qualname": "f", "symbol_kind": "function"}
+    rows = {
+        "entities": [(k, f"s{k}", f"u{k}", "CodeSymbol", same, {}, None) for k in range(600)],
+        "facts": [(600 - k, f"f{k}", "CALLS", "s0", f"s{k}", {}, None) for k in range(600)],
+        "support_facts": [],
+        "evidence": [(k, f"e{k}", "entity", f"s{k}", "deterministic_static", "py", {}, ("r", "c", f"m{k:03}.py", 1, 9), None, None) for k in range(600)],
+        "coverage": [],
+    }
+    g = graph.Graph({n: spark.createDataFrame(r, snapshot.SCHEMAS[n]) for n, r in rows.items()})
+    assert [r["fact_id"] for r in g.find_callers("m.f", limit=3, every=True)["rows"]] == ["f599", "f598", "f597"]
+    assert {r["fact_id"] for r in g.find_callers("f", limit=500, every=True)["rows"]} == {f"f{k}" for k in range(100, 600)}
+    assert [r["fact_id"] for r in g.find_callers("m.f", path="m007.py", every=True)["rows"]] == ["f7"]
+    assert g.find_callers("m.f", limit=3)["status"] == "ambiguous" and g.find_callers("none", every=True)["status"] == "not_found"
+    assert [r["fact_id"] for r in g.find_callers("m.f", include_all=True, limit=3)["rows"]] == ["f2", "f1", "f0"]
+
+
 def test_imports(g):
     assert [r["subject_label"] for r in g.modules_importing("requests")["modules"]] == ["app.x", "app.y"]
     assert g.who_imports("requests", 1)["rows"] == [{"prefix": "app", "n": 2}]
